@@ -18,6 +18,8 @@ def configure(spark: SparkSession) -> SparkSession:
         ("spark.sql.adaptive.coalescePartitions.enabled", "true"),
         ("spark.sql.execution.arrow.pyspark.enabled", "true"),
         ("spark.sql.sources.partitionOverwriteMode", "dynamic"),
+        # Call-site capture doubles the time spent building large plans.
+        ("spark.python.sql.dataFrameDebugging.enabled", "false"),
     ):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
