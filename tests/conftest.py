@@ -10,7 +10,7 @@ from ledgerline.session import configure  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false")
+    session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "6g")
                .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
