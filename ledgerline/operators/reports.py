@@ -12,43 +12,65 @@ from ledgerline.functions import scalars as S
 from ledgerline.functions import text as X
 from ledgerline.operators.detect import column_index, detect_format, detect_reports
 from ledgerline.schema import TXN
+from ledgerline.session import stage
 from ledgerline.settings import Settings
 from ledgerline.sources.rows import not_blank
 
-_AUX = ["member_name", "before", "credit", "after", "approved", "entitled", "excess"]
-_COLUMNS = ["วันที่ทำรายการ", "วันที่ธนาคาร", "จำนวนเงินฝากจริง", "จำนวนเงินถอนจริง", "ชื่อธนาคาร", "สมาชิก", "บัญชีลูกค้า", "โบนัส/โปรโมชั่น",
-            "ชื่อโปรโมชั่น", "รหัสอ้างอิง", "เกิดโดย", "ทำรายการโดย", "สร้างโดย", "หมายเหตุ", "เวลาทำรายการ", "เวลาธนาคาร", "จำนวน", "สถานะ",
-            "เลขบัญชีธนาคารบริษัท", "ชื่อธนาคารสมาชิก", "รหัสสมาชิก", "ชื่อเล่นสมาชิก", "เลขบัญชีธนาคารสมาชิก", "ชื่อบัญชีธนาคารสมาชิก",
-            "รหัสรายการ", "ดำเนินการโดย", "เครดิตก่อน", "เครดิตหลัง", "ช่องทาง", "บัญชีบริษัท", "เลขคำสั่งชำระ", "โปรโมชั่น", "ยอดก่อนเติม",
-            "เครดิต", "โบนัส", "ยอดหลังเติม", "วัน/เวลา", "จำนวนเงิน", "ชื่อสมาชิก"]
-_GATEWAY_COLUMNS = [n for group in (fixed.PM_ROW_STATUS, fixed.PM_ROW_TIME, fixed.PM_ROW_ID, fixed.PM_ROW_PAID, fixed.PM_ROW_RECEIVED,
-                                    fixed.PM_ROW_REQUESTED, fixed.PM_ROW_FEE, fixed.PM_ROW_MEMBER, fixed.PM_ROW_CUST_NAME,
-                                    fixed.PM_ROW_CUST_BANK, fixed.PM_ROW_REF, ["provider"]) for n in group]
+_MANUAL = ["เวลาทำรายการ", "เวลาธนาคาร", "จำนวน", "สถานะ", "รหัสสมาชิก", "ชื่อเล่นสมาชิก", "รหัสรายการ", "ดำเนินการโดย", "หมายเหตุ"]
+_MEMBER = ["รหัสสมาชิก", "ชื่อเล่นสมาชิก", "ชื่อสมาชิก", "สถานะ", "ดำเนินการโดย", "หมายเหตุ", "รหัสรายการ"]
+# Headers each format reads; a row's cells are reduced to these, in this order, before parsing.
+_COLUMNS = {
+    "bo_main": ["วันที่ทำรายการ", "วันที่ธนาคาร", "จำนวนเงินฝากจริง", "จำนวนเงินถอนจริง", "ชื่อธนาคาร", "สมาชิก", "บัญชีลูกค้า", "โบนัส/โปรโมชั่น",
+                "ชื่อโปรโมชั่น", "รหัสอ้างอิง", "เกิดโดย", "ทำรายการโดย", "สร้างโดย", "หมายเหตุ"],
+    "manual_credit": [*_MANUAL, "เลขบัญชีธนาคารบริษัท", "ชื่อธนาคารสมาชิก", "เลขบัญชีธนาคารสมาชิก", "ชื่อบัญชีธนาคารสมาชิก", "เครดิตก่อน", "เครดิตหลัง"],
+    "manual_payment": [*_MANUAL, "ช่องทาง", "บัญชีบริษัท", "เลขคำสั่งชำระ"],
+    "manual_bonus": [*_MEMBER, "เวลาทำรายการ", "โปรโมชั่น", "ยอดก่อนเติม", "เครดิต", "โบนัส", "ยอดหลังเติม"],
+    "comm_req": [*_MEMBER, "วัน/เวลา", "จำนวนเงิน"],
+    "credit_out": [*_MEMBER, "เวลาทำรายการ", "จำนวน", "เครดิตก่อน", "เครดิตหลัง", "สร้างโดย"],
+    "pm_provider": list(dict.fromkeys(n for group in (
+        fixed.PM_ROW_STATUS, fixed.PM_ROW_TIME, fixed.PM_ROW_ID, fixed.PM_ROW_PAID, fixed.PM_ROW_RECEIVED, fixed.PM_ROW_REQUESTED, fixed.PM_ROW_FEE,
+        fixed.PM_ROW_MEMBER, fixed.PM_ROW_CUST_NAME, fixed.PM_ROW_CUST_BANK, fixed.PM_ROW_REF, ["provider"]) for n in group)),
+}
 
 
 def _layout(formats: DataFrame) -> DataFrame:
-    """Resolve every header once per file: map<name, index>."""
-    names = list(dict.fromkeys([*_COLUMNS, *_GATEWAY_COLUMNS]))
-    pairs = [x for n in names for x in (F.lit(n), column_index("hdr", n))]
-    return formats.withColumn("layout", F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()))
+    """Resolve the headers of each file once: the cell index of every column its format reads."""
+    code = F.col("format_code")
+    return formats.withColumn("layout", S.case_of([
+        (code == f, F.array(*[column_index("hdr", n) for n in names])) for f, names in _COLUMNS.items()]))
+
 
+class _Values:
+    """Accessors to the extracted cells of one format."""
 
-def val(name: str) -> Column:
-    """Trimmed cell under a header, '' when the file has no such column."""
-    return F.trim(F.coalesce(F.get("cells", F.try_element_at("layout", F.lit(name))), F.lit("")))
+    def __init__(self, code: str):
+        self.at = {n: i for i, n in enumerate(_COLUMNS[code])}
 
+    def val(self, name: str) -> Column:
+        """Trimmed cell under a header, '' when the file has no such column."""
+        return F.get("vals", F.lit(self.at[name]))
 
-def val_any(names: list[str]) -> Column:
-    return F.coalesce(*[F.when(val(n) != "", val(n)) for n in names], F.lit(""))
+    def any(self, names: list[str]) -> Column:
+        return F.coalesce(*[F.when(self.val(n) != "", self.val(n)) for n in names], F.lit(""))
 
 
 def _or(*cols) -> Column:
     return F.coalesce(*[S.blank_to_null(c) for c in cols])
 
 
-def _two_times(bo_name: str, bank_name: str) -> dict[str, Column]:
-    bo, bank = S.stamp(val(bo_name)), F.coalesce(S.stamp(val(bank_name)), S.stamp(val(bo_name)))
-    return {"t": bank, "bo_t": bo}
+_TIMES = {"bo_main": ["วันที่ธนาคาร", "วันที่ทำรายการ"], "manual_credit": ["เวลาธนาคาร", "เวลาทำรายการ"], "manual_payment": ["เวลาธนาคาร", "เวลาทำรายการ"],
+          "manual_bonus": ["เวลาทำรายการ"], "comm_req": ["วัน/เวลา"], "credit_out": ["เวลาทำรายการ"]}
+
+
+def _with_times(df: DataFrame, code: str, v: _Values) -> DataFrame:
+    """``t``: the time that counts (bank before back office); ``bo_t``: the back-office time."""
+    if code == "pm_provider":
+        return df.withColumn("t", S.stamp(v.any(fixed.PM_ROW_TIME)))
+    names = _TIMES[code]
+    if len(names) == 1:
+        return df.withColumn("t", S.stamp(v.val(names[0])))
+    df = df.withColumns({"bank_t": S.stamp(v.val(names[0])), "bo_t": S.stamp(v.val(names[1]))})
+    return df.withColumn("t", F.coalesce("bank_t", "bo_t"))
 
 
 def _booked(minute: bool = True) -> dict[str, Column]:
@@ -60,67 +82,91 @@ def _booked(minute: bool = True) -> dict[str, Column]:
     return out
 
 
-def _times() -> dict[str, dict[str, Column]]:
-    one = lambda c: {"t": S.stamp(c)}
-    return {"bo_main": _two_times("วันที่ทำรายการ", "วันที่ธนาคาร"), "manual_credit": _two_times("เวลาทำรายการ", "เวลาธนาคาร"),
-            "manual_payment": _two_times("เวลาทำรายการ", "เวลาธนาคาร"), "manual_bonus": one(val("เวลาทำรายการ")),
-            "comm_req": one(val("วัน/เวลา")), "credit_out": one(val("เวลาทำรายการ")), "pm_provider": one(val_any(fixed.PM_ROW_TIME))}
-
-
 def _drop(*pairs) -> Column:
     return S.case_of(pairs)
 
 
-def _formats(cfg: Settings) -> dict[str, dict[str, Column]]:
-    """Canonical columns per report format, in terms of ``cells``, ``layout`` and the parsed times."""
-    t, bo_t = F.col("t"), F.col("bo_t")
-    no_time = (F.col("bo_t").isNull(), fixed.DROP_NO_TIME)
-    member = {"member_code": val("รหัสสมาชิก"), "member_nick": val("ชื่อเล่นสมาชิก")}
-    out: dict[str, dict[str, Column]] = {}
+_NO_BO_TIME = lambda: (F.col("bo_t").isNull(), fixed.DROP_NO_TIME)
+_NO_TIME = lambda: (F.col("t").isNull(), fixed.DROP_NO_TIME)
+
 
+def _member(v: _Values) -> dict[str, Column]:
+    return {"member_code": v.val("รหัสสมาชิก"), "member_nick": v.val("ชื่อเล่นสมาชิก")}
+
+
+def _bo_main(v: _Values) -> dict[str, Column]:
+    val = v.val
     dep, wit = S.num(val("จำนวนเงินฝากจริง")), S.num(val("จำนวนเงินถอนจริง"))
     amount = F.when(dep != 0, dep).otherwise(wit)
     ch = X.channel_of(val("ชื่อธนาคาร"))
     pm = X.canonical_pm(ch["channel"])
     mem, cust = X.pipe_split(val("สมาชิก")), X.pipe_split(val("บัญชีลูกค้า"))
-    out["bo_main"] = {
+    return {
         **_booked(), "amount": amount, "direction": F.when(dep != 0, "deposit").otherwise("withdraw"),
         "account": F.coalesce(pm, _or(ch["terminal"]), F.lit("UNKNOWN")), "channel": F.coalesce(pm, ch["channel"]), "is_pm": pm.isNotNull(),
         "bank": F.when(~ch["is_bank_account"], ch["channel"]), "member_code": _or(mem["right"], mem["left"]), "member_nick": mem["left"],
         "cust_account": cust["left"], "cust_name": cust["right"], "bonus": S.num(val("โบนัส/โปรโมชั่น")), "promo": val("ชื่อโปรโมชั่น"),
         "ref": val("รหัสอ้างอิง"), "via": val("เกิดโดย"), "username": _or(val("ทำรายการโดย"), val("สร้างโดย")), "note": val("หมายเหตุ"),
-        "drop_reason": _drop(no_time, (amount == 0, fixed.DROP_ZERO))}
+        "drop_reason": _drop(_NO_BO_TIME(), (amount == 0, fixed.DROP_ZERO))}
 
+
+def _manual(v: _Values) -> dict[str, Column]:
+    val = v.val
     amount = S.num(val("จำนวน"))
     bad_status = ~X.ok_status(val("สถานะ"))
-    manual_drop = _drop(no_time, (amount == 0, fixed.DROP_ZERO), (bad_status, fixed.DROP_STATUS))
-    manual = {**member, "amount": amount, "direction": F.lit("deposit"), "ref": val("รหัสรายการ"), "username": val("ดำเนินการโดย"),
+    manual_drop = _drop(_NO_BO_TIME(), (amount == 0, fixed.DROP_ZERO), (bad_status, fixed.DROP_STATUS))
+    return {**_member(v), "amount": amount, "direction": F.lit("deposit"), "ref": val("รหัสรายการ"), "username": val("ดำเนินการโดย"),
               "note": val("หมายเหตุ"), "manual": F.lit(True), "drop_reason": manual_drop}
-    out["manual_credit"] = {
-        **_booked(), **manual, "account": F.coalesce(_or(val("เลขบัญชีธนาคารบริษัท")), F.lit("UNKNOWN")), "channel": F.lit("MANUAL"),
+
+
+def _manual_credit(v: _Values) -> dict[str, Column]:
+    val = v.val
+    return {
+        **_booked(), **_manual(v), "account": F.coalesce(_or(val("เลขบัญชีธนาคารบริษัท")), F.lit("UNKNOWN")), "channel": F.lit("MANUAL"),
         "is_pm": F.lit(False), "cust_bank": F.upper(val("ชื่อธนาคารสมาชิก")), "cust_account": val("เลขบัญชีธนาคารสมาชิก"),
         "cust_name": val("ชื่อบัญชีธนาคารสมาชิก"), "credit_before": S.num(val("เครดิตก่อน")), "credit_after": S.num(val("เครดิตหลัง"))}
+
+
+def _manual_payment(v: _Values) -> dict[str, Column]:
+    val = v.val
     ch = X.channel_of(val("ช่องทาง"))
     pm = X.canonical_pm(ch["channel"])
-    out["manual_payment"] = {
-        **_booked(minute=False), **manual, "account": F.coalesce(pm, _or(val("บัญชีบริษัท"), ch["terminal"]), F.lit("UNKNOWN")),
+    return {
+        **_booked(minute=False), **_manual(v), "account": F.coalesce(pm, _or(val("บัญชีบริษัท"), ch["terminal"]), F.lit("UNKNOWN")),
         "channel": F.coalesce(pm, _or(ch["channel"]), F.lit("MANUAL")), "is_pm": pm.isNotNull(), "pay_order": val("เลขคำสั่งชำระ")}
 
-    no_time = (F.col("t").isNull(), fixed.DROP_NO_TIME)
-    when_ = {"date": t["date"], "sec": t["sec"]}
-    out["manual_bonus"] = {
-        **when_, **member, "promo": val("โปรโมชั่น"), "status": val("สถานะ"), "before": S.num(val("ยอดก่อนเติม")), "credit": S.num(val("เครดิต")),
-        "bonus": S.num(val("โบนัส")), "after": S.num(val("ยอดหลังเติม")), "username": val("ดำเนินการโดย"), "note": val("หมายเหตุ"), "drop_reason": _drop(no_time)}
+
+def _when() -> dict[str, Column]:
+    return {"date": F.col("t")["date"], "sec": F.col("t")["sec"]}
+
+
+def _manual_bonus(v: _Values) -> dict[str, Column]:
+    val = v.val
+    return {
+        **_when(), **_member(v), "promo": val("โปรโมชั่น"), "status": val("สถานะ"), "before": S.num(val("ยอดก่อนเติม")), "credit": S.num(val("เครดิต")),
+        "bonus": S.num(val("โบนัส")), "after": S.num(val("ยอดหลังเติม")), "username": val("ดำเนินการโดย"), "note": val("หมายเหตุ"), "drop_reason": _drop(_NO_TIME())}
+
+
+def _comm_req(v: _Values) -> dict[str, Column]:
+    val = v.val
     hints = X.note_hints(val("หมายเหตุ"))
-    out["comm_req"] = {
-        **when_, **member, "member_name": val("ชื่อสมาชิก"), "amount": S.num(val("จำนวนเงิน")), "status": val("สถานะ"), "approved": X.ok_status(val("สถานะ")),
+    return {
+        **_when(), **_member(v), "member_name": val("ชื่อสมาชิก"), "amount": S.num(val("จำนวนเงิน")), "status": val("สถานะ"), "approved": X.ok_status(val("สถานะ")),
         "entitled": hints["entitled"], "excess": hints["excess"], "username": val("ดำเนินการโดย"), "ref": val("รหัสรายการ"), "note": val("หมายเหตุ"),
-        "drop_reason": _drop(no_time)}
-    out["credit_out"] = {
-        **when_, **member, "member_name": val("ชื่อสมาชิก"), "amount": S.num(val("จำนวน")), "before": S.num(val("เครดิตก่อน")), "after": S.num(val("เครดิตหลัง")),
+        "drop_reason": _drop(_NO_TIME())}
+
+
+def _credit_out(v: _Values) -> dict[str, Column]:
+    val = v.val
+    hints = X.note_hints(val("หมายเหตุ"))
+    return {
+        **_when(), **_member(v), "member_name": val("ชื่อสมาชิก"), "amount": S.num(val("จำนวน")), "before": S.num(val("เครดิตก่อน")), "after": S.num(val("เครดิตหลัง")),
         "status": val("สถานะ"), "username": _or(val("สร้างโดย"), val("ดำเนินการโดย")), "ref": val("รหัสรายการ"), "note": val("หมายเหตุ"),
-        "entitled": hints["entitled"], "excess": hints["excess"], "drop_reason": _drop(no_time)}
+        "entitled": hints["entitled"], "excess": hints["excess"], "drop_reason": _drop(_NO_TIME())}
+
 
+def _pm_provider(v: _Values) -> dict[str, Column]:
+    t, val, val_any = F.col("t"), v.val, v.any
     status = F.lower(val_any(fixed.PM_ROW_STATUS))
     by_name = F.when(F.col("file_name").contains("ถอน"), "withdraw").when(F.col("file_name").contains("ฝาก"), "deposit")
     direction = F.coalesce(by_name, F.when(val_any(fixed.PM_ROW_ID).rlike(fixed.PM_WITHDRAW_ID), "withdraw").otherwise("deposit"))
@@ -129,14 +175,17 @@ def _formats(cfg: Settings) -> dict[str, dict[str, Column]]:
     provider = F.coalesce(X.pm_provider_of("file_name"), X.pm_provider_of(named), _or(F.upper(named)), F.lit("PM"))
     requested = S.num(val_any(fixed.PM_ROW_REQUESTED))
     failed = F.concat(F.lit("รายการไม่สำเร็จ (PM: "), F.when(status == "", "-").otherwise(status), F.lit(")"))
-    out["pm_provider"] = {
-        **when_, "amount": amount, "requested": F.when(requested != 0, requested), "fee": S.num(val_any(fixed.PM_ROW_FEE)), "direction": direction,
+    return {
+        **_when(), "amount": amount, "requested": F.when(requested != 0, requested), "fee": S.num(val_any(fixed.PM_ROW_FEE)), "direction": direction,
         "account": provider, "channel": provider, "is_pm": F.lit(True), "company": provider, "subco": X.subco_of("file_name", "title"),
         "member_code": val_any(fixed.PM_ROW_MEMBER), "cust_name": val_any(fixed.PM_ROW_CUST_NAME), "cust_bank": val_any(fixed.PM_ROW_CUST_BANK),
         "ref": val_any(fixed.PM_ROW_REF), "status": status, "partial": status.contains("partial"), "cross_day": F.lit(False),
         "late_night": t["sec"] >= 82800, "minute_precision": ~t["sec_precision"],
-        "drop_reason": _drop((~status.rlike(fixed.PM_SUCCESS), failed), no_time, (amount == 0, fixed.DROP_ZERO))}
-    return out
+        "drop_reason": _drop((~status.rlike(fixed.PM_SUCCESS), failed), _NO_TIME(), (amount == 0, fixed.DROP_ZERO))}
+
+
+_PARSERS = {"bo_main": _bo_main, "manual_credit": _manual_credit, "manual_payment": _manual_payment, "manual_bonus": _manual_bonus,
+            "comm_req": _comm_req, "credit_out": _credit_out, "pm_provider": _pm_provider}
 
 
 _TYPES = {f.name: f.dataType for f in TXN.fields} | {
@@ -164,39 +213,43 @@ def _finish(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 def _identity(cfg: Settings) -> dict[str, Column]:
     seq = F.shiftleft(F.col("file_seq").cast("bigint"), 32) + F.col("row_no").cast("bigint")
     return {"txn_id": F.concat_ws("-", "file_id", "row_no"), "job_date": F.col("job_date"), "job_company": F.col("job_company"),
-            "file_id": F.col("file_id"), "file_seq": F.col("file_seq"), "row_no": F.col("row_no"), "seq": seq, "raw": F.array_join("cells", " | ")}
+            "file_id": F.col("file_id"), "file_seq": F.col("file_seq"), "row_no": F.col("row_no"), "seq": seq, "raw": F.col("raw")}
 
 
 def normalize_reports(rows: DataFrame, files: DataFrame, cfg: Settings = Settings(), formats: DataFrame | None = None) -> DataFrame:
-    """All report formats in one pass.  ``files``: file_id, file_name, file_seq, job_date, job_company.
+    """All report formats.  ``files``: file_id, file_name, file_seq, job_date, job_company.
 
-    Output is TXN plus auxiliary columns; rows that do not count carry a ``drop_reason``.
+    Rows are routed once: joined to their file, reduced to the cells their format reads and written partitioned by
+    format.  Each format present is then parsed from its own partition by a small projection that fits generated code.
+    Output (staged) is TXN plus auxiliary columns; rows that do not count carry a ``drop_reason``.
     """
-    formats = _layout(detect_reports(rows, files) if formats is None else formats)
-    info = formats.drop("hdr", "file_name").join(files, "file_id")
+    formats = stage(_layout(detect_reports(rows, files) if formats is None else formats).drop("hdr"), "formats")
+    codes = [r[0] for r in formats.select("format_code").distinct().collect()]  # at most one per known format
+    info = formats.drop("file_name").join(files, "file_id")
     data = rows.drop("file_seq").join(info, "file_id").filter((F.col("row_no") > F.col("header_row")) & not_blank())
-    code = F.col("format_code")
-    times = _times()
-    for name in ("t", "bo_t"):
-        data = data.withColumn(name, S.case_of([(code == f, m[name]) for f, m in times.items() if name in m]))
-    per_format = _formats(cfg)
-    company = X.company_of("file_name")
-    values = _identity(cfg) | {"format_code": code, "side": F.col("side"), "company": company}
-    for name in _TYPES:
-        choices = [(code == f, m[name]) for f, m in per_format.items() if name in m]
-        if choices:
-            values[name] = S.case_of(choices, values.get(name))
-    wrong = (F.col("job_date").isNotNull() & (values["date"] != F.date_format("job_date", "yyyy-MM-dd"))
-             & ~F.coalesce(values["cross_day"], F.lit(False)))
-    values["drop_reason"] = F.coalesce(values["drop_reason"], F.when(wrong, fixed.DROP_WRONG_DATE))
-    return _finish(data, values)
+    data = data.select("file_id", "file_name", "file_seq", "job_date", "job_company", "row_no", "side", "title", F.array_join("cells", " | ").alias("raw"), F.transform(
+        "layout", lambda i: F.trim(F.coalesce(F.get("cells", i), F.lit("")))).alias("vals"), "format_code")
+    routed = stage(data, "routed", partition_by="format_code")
+    out = None
+    for code in sorted(codes):
+        v = _Values(code)
+        part = _with_times(routed.filter(F.col("format_code") == code), code, v)
+        values = _identity(cfg) | {"format_code": F.col("format_code"), "side": F.col("side"), "company": X.company_of("file_name")} | _PARSERS[code](v)
+        wrong = (F.col("job_date").isNotNull() & (values["date"] != F.date_format("job_date", "yyyy-MM-dd"))
+                 & ~F.coalesce(values.get("cross_day", F.lit(False)), F.lit(False)))
+        values["drop_reason"] = F.coalesce(values["drop_reason"], F.when(wrong, fixed.DROP_WRONG_DATE))
+        parsed = _finish(part, values)
+        out = parsed if out is None else out.unionByName(parsed)
+    if out is None:
+        return files.sparkSession.createDataFrame([], _finish(files, {}).schema)
+    return stage(out, "normalized")
 
 
 def normalize_generic(rows: DataFrame, files: DataFrame, cfg: Settings = Settings(), formats: DataFrame | None = None) -> DataFrame:
     """Files of no known report, read through the header dictionary."""
     formats = detect_format(rows, files) if formats is None else formats
     info = formats.withColumnsRenamed({"bank": "file_bank", "company": "file_company"}).join(files, "file_id")
-    data = rows.drop("file_seq").join(info, "file_id").filter(F.col("row_no") > F.col("header_row"))
+    data = rows.drop("file_seq").join(info, "file_id").filter(F.col("row_no") > F.col("header_row")).withColumn("raw", F.array_join("cells", " | "))
 
     def cell(k: str) -> Column:
         return F.get("cells", F.try_element_at("map", F.lit(k)))
@@ -237,12 +290,12 @@ def normalize_generic(rows: DataFrame, files: DataFrame, cfg: Settings = Setting
         "direction": F.coalesce(by_column, by_marker, by_amount, F.lit("deposit")), "account": final_account,
         "bank": F.coalesce(_or(bank), F.upper(F.substring_index(final_account, "-", 1))), "company": F.coalesce("file_company", _or(text("company"))),
         "username": text("username"), "ref": text("txid"), "descr": F.col("desc_text"), "cross_day": F.col("clock") >= cfg.late_night_sec, "drop_reason": reason}
-    return _finish(data, values)
+    return stage(_finish(data, values), "normalized")
 
 
 def normalize(rows: DataFrame, files: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Report formats first, the header dictionary for the remaining files."""
-    formats = detect_reports(rows, files)
+    formats = stage(detect_reports(rows, files), "formats")
     known = formats.select("file_id")
     rest = files.join(known, "file_id", "left_anti")
     return normalize_reports(rows, files, cfg, formats).unionByName(

@@ -30,7 +30,7 @@ def _events(t: Tables) -> DataFrame:
 def _doc(t: Tables, head: list[str], body: list[Column]) -> DataFrame:
     """One document per account: a header page, then one page per day with the lines of each event."""
     e = _events(t)
-    acct = F.lpad(F.col("acct").cast("string"), 10, "1")
+    acct = F.lpad(F.col("acct").cast("string"), 10, "3")
     top = e.select("acct").distinct().select(
         acct.alias("doc_id"), F.lit(0).alias("page_no"),
         F.posexplode(F.array(*[_cat(*[acct if p == "{acct}" else p for p in h.partition("{acct}")]) for h in head])).alias("pos", "text"), F.lit(0).cast("bigint").alias("base"))
@@ -57,7 +57,7 @@ def _read_back(t: Tables, head: list[str], body: list[Column]) -> DataFrame:
 
 def _expect(bank: str, sec: str, channel: str, descr: str, no_time: str = "false", direction: str | None = None) -> str:
     direction = direction or "case when event_id%3=0 then 'withdraw' else 'deposit' end"
-    return f"""select lpad(cast(user_id%20 as varchar),10,'1') as account, '{bank}' as bank, strftime(ts,'%Y-%m-%d') as day, cast({sec} as bigint) as sec,
+    return f"""select lpad(cast(user_id%20 as varchar),10,'3') as account, '{bank}' as bank, strftime(ts,'%Y-%m-%d') as day, cast({sec} as bigint) as sec,
  cast(round(value*100) as bigint)+1000 as cents, {direction} as direction, {channel} as channel, {no_time} as no_time, {descr} as descr from events"""
 
 
@@ -122,7 +122,7 @@ def bbl(t: Tables) -> DataFrame:
     return _read_back(t, ["ธนาคารกรุงเทพ จำกัด", "ชื่อ/Name เลขที่บัญชี/Account No. {acct}"], [F.concat_ws(" ", _f("dd/MM/yy"), kind, "amt", "bal", F.lit("mPhone"))])
 
 
-@check("statement_lines_generic", """select lpad(cast(user_id%20 as varchar),10,'1') as account, '-' as bank, strftime(ts,'%Y-%m-%d') as day, cast(hour(ts)*3600+minute(ts)*60 as bigint) as sec,
+@check("statement_lines_generic", """select lpad(cast(user_id%20 as varchar),10,'3') as account, '-' as bank, strftime(ts,'%Y-%m-%d') as day, cast(hour(ts)*3600+minute(ts)*60 as bigint) as sec,
  cast(round(value*100) as bigint)+1000 as cents, case when event_id%3=0 then 'withdraw' else 'deposit' end as direction from events""")
 def generic_lines(t: Tables) -> DataFrame:
     word = F.when(F.col("wd"), "withdraw").otherwise("deposit")
@@ -130,7 +130,7 @@ def generic_lines(t: Tables) -> DataFrame:
     return out.select("account", F.coalesce("bank", F.lit("-")).alias("bank"), "day", "sec", "cents", "direction")
 
 
-@check("statement_header", """select lpad(cast(user_id%20 as varchar),10,'1') as account, 'BBL' as bank, '2024-01-01 ถึง 2024-01-30' as period, 'นาย ทดสอบ' as holder from events group by user_id%20""")
+@check("statement_header", """select lpad(cast(user_id%20 as varchar),10,'3') as account, 'BBL' as bank, '2024-01-01 ถึง 2024-01-30' as period, 'นาย ทดสอบ' as holder from (select distinct user_id%20 as user_id from events)""")
 def header(t: Tables) -> DataFrame:
     docs = _doc(t, ["ธนาคารกรุงเทพ จำกัด", "เลขที่บัญชี/Account No. {acct}", "ชื่อบัญชี นาย ทดสอบ", "01/01/2024 - 30/01/2024"], [F.col("bal")])
     return statements.statement_header(statements.with_neighbours(docs)).select("account", "bank", "period", "holder")
@@ -328,7 +328,7 @@ def _accounts(t: Tables) -> DataFrame:
     """Bank accounts named after suppliers, gateways per nation."""
     k = F.col("s_suppkey")
     bank = t.supplier.select(
-        F.lpad(k.cast("string"), 10, "4").alias("account"), S.case_of([(k % 3 == 0, "SCB"), (k % 3 == 1, "KBANK")], F.lit("GSB")).alias("bank"),
+        F.lpad(k.cast("string"), 10, "0").alias("account"), S.case_of([(k % 3 == 0, "SCB"), (k % 3 == 1, "KBANK")], F.lit("GSB")).alias("bank"),
         _cat("นาย", F.lower(F.regexp_replace("s_name", "#", "")), " สกุล", k % 7).alias("name"), F.lit("bank").alias("source"), F.lit(None).cast("string").alias("provider"),
         F.lit(None).cast("string").alias("channel"), _cat("S", k % 9).alias("subco"), k.alias("ord"))
     n = F.col("n_nationkey")
@@ -338,7 +338,7 @@ def _accounts(t: Tables) -> DataFrame:
 
 
 @check("name_match", """select s_suppkey as id, case when s_suppkey%5=4 then 'NQ'||lpad(cast(s_nationkey as varchar),2,'0') when s_suppkey%5=3 then null else 'S'||(s_suppkey%9) end as subco,
- case when s_suppkey%5 in (3,4) then null else lpad(cast(s_suppkey as varchar),10,'4') end as account, case when s_suppkey%5=4 then 2 when s_suppkey%5<3 then 2 end as score,
+ case when s_suppkey%5 in (3,4) then null else lpad(cast(s_suppkey as varchar),10,'0') end as account, case when s_suppkey%5=4 then 2 when s_suppkey%5<3 then 2 end as score,
  case when s_suppkey%5=3 then 'ไฟล์ PM ไม่มีชื่อบริษัทย่อยในชื่อไฟล์ (เพิ่มบริษัทย่อยในชื่อไฟล์)' end as reason, case when s_suppkey%2=0 then 'both' else 'withdraw' end as direction from supplier""")
 def name_match(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
@@ -349,18 +349,18 @@ def name_match(t: Tables) -> DataFrame:
     return registry.match_files(files, _accounts(t)).select(F.col("file_id").alias("id"), "subco", "account", "score", "reason", "direction")
 
 
-@check("account_tagging", """select s_suppkey as id, case when s_suppkey%4=0 then 'CYBERPLUS' when s_suppkey%4=1 then '7'||lpad(cast(s_suppkey as varchar),9,'4') else lpad(cast(s_suppkey as varchar),10,'4') end as account,
+@check("account_tagging", """select s_suppkey as id, case when s_suppkey%4=0 then 'CYBERPLUS' when s_suppkey%4=1 then '7'||lpad(cast(s_suppkey as varchar),9,'0') else lpad(cast(s_suppkey as varchar),10,'0') end as account,
  case when s_suppkey%4 in (2,3) then 'S'||(s_suppkey%9) end as reg_subco from supplier""")
 def account_tagging(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    text = S.case_of([(k % 4 == 0, "cyber plus"), (k % 4 == 1, _cat("7-", F.lpad(k.cast("string"), 9, "4"))), (k % 4 == 2, F.lit("UNKNOWN"))], F.lpad(k.cast("string"), 10, "4"))
+    text = S.case_of([(k % 4 == 0, "cyber plus"), (k % 4 == 1, _cat("7-", F.lpad(k.cast("string"), 9, "0"))), (k % 4 == 2, F.lit("UNKNOWN"))], F.lpad(k.cast("string"), 10, "0"))
     txns = t.supplier.select(k.alias("file_id"), text.alias("account"), F.lit("").alias("bank"), F.when(k % 4 == 0, "cyber plus").alias("channel"), F.lit("").alias("subco"))
-    matches = t.supplier.select(k.alias("file_id"), F.lit(None).cast("string").alias("subco"), F.lpad(k.cast("string"), 10, "4").alias("account"), F.lit("SCB").alias("match_bank"))
+    matches = t.supplier.select(k.alias("file_id"), F.lit(None).cast("string").alias("subco"), F.lpad(k.cast("string"), 10, "0").alias("account"), F.lit("SCB").alias("match_bank"))
     tagged = registry.tag_records(txns, matches)
     return registry.account_lookup(tagged, _accounts(t)).select(F.col("file_id").alias("id"), "account", "reg_subco")
 
 
-@check("unseen_accounts", """select lpad(cast(c_custkey as varchar),10,'4') as account, 'KTB' as bank from customer where lpad(cast(c_custkey as varchar),10,'4') not in (select lpad(cast(s_suppkey as varchar),10,'4') from supplier)""")
+@check("unseen_accounts", """select lpad(cast(c_custkey as varchar),10,'0') as account, 'KTB' as bank from customer where lpad(cast(c_custkey as varchar),10,'0') not in (select lpad(cast(s_suppkey as varchar),10,'0') from supplier)""")
 def unseen_accounts(t: Tables) -> DataFrame:
-    heads = t.customer.select(F.lpad(F.col("c_custkey").cast("string"), 10, "4").alias("account"), F.lit("KTB").alias("bank"), F.col("c_name").alias("holder"))
+    heads = t.customer.select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("account"), F.lit("KTB").alias("bank"), F.col("c_name").alias("holder"))
     return registry.register_unseen(heads, _accounts(t)).select("account", "bank")
