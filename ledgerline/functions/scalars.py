@@ -31,6 +31,11 @@ def case_of(pairs, default: Column | None = None) -> Column:
     return chain if default is None else chain.otherwise(default)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
@@ -59,11 +64,18 @@ def cents_of(c) -> Column:
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?"
 
 
+def _sec_of_clock(clock: Column) -> Column:
+    """Seconds of an "H:MM[:SS]" text, NULL for ''."""
+    def body(p):
+        part = lambda i: F.get(p, F.lit(i)).try_cast("int")
+        return part(0) * 3600 + part(1) * 60 + F.coalesce(part(2), F.lit(0))
+
+    return let(F.split(clock, ":"), body)
+
+
 def sec_of(c) -> Column:
     """Seconds since midnight of the first ``H:MM[:SS]`` in a text, else NULL."""
-    c = col(c)
-    part = lambda i: F.regexp_extract(c, _CLOCK, i).try_cast("int")
-    return F.when(c.rlike(_CLOCK), part(1) * 3600 + part(2) * 60 + F.coalesce(part(3), F.lit(0)))
+    return _sec_of_clock(F.regexp_extract(col(c), _CLOCK, 0))
 
 
 def _iso(y: Column, m: Column, d: Column) -> Column:
@@ -75,43 +87,58 @@ def _ce(year: Column) -> Column:
     return F.when(year > 2400, year - 543).otherwise(year)
 
 
+def _dmy_parts(c, pattern: str) -> Column:
+    """[day, month, year] texts of the first d/m/y or d-m-y in a text."""
+    return F.split(F.translate(F.regexp_extract(c, pattern, 0), "/", "-"), "-")
+
+
+def _iso_of_dmy(parts: Column, year) -> Column:
+    """ISO text of [day, month, year]; ``year`` maps the written year to the common era.  NULL without a year."""
+    def body(x):
+        return F.when(x["y"].isNotNull(), let(year(x["y"]), lambda y: _iso(y, F.get(x["p"], F.lit(1)), F.get(x["p"], F.lit(0)))))
+
+    return let(F.struct(parts.alias("p"), F.get(parts, F.lit(2)).try_cast("int").alias("y")), body)
+
+
 def iso_date_generic(c) -> Column:
     """ISO text of ``yyyy-mm-dd`` or ``d/m/yyyy`` at the start; no Buddhist-era handling."""
     c = F.trim(col(c))
-    iso, dmy = r"^(\d{4})-(\d{2})-(\d{2})", r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})"
-    g = lambda p, i: F.regexp_extract(c, p, i)
-    return (F.when(c.rlike(iso), _iso(g(iso, 1), g(iso, 2), g(iso, 3)))
-            .when(c.rlike(dmy), _iso(g(dmy, 3), g(dmy, 2), g(dmy, 1))))
+    return F.coalesce(blank_to_null(F.regexp_extract(c, r"^\d{4}-\d{2}-\d{2}", 0)),
+                      let(_dmy_parts(c, r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}"), lambda p: _iso_of_dmy(p, lambda y: y)))
 
 
 def stamp(c) -> Column:
     """struct(date ISO text, sec, has_time, sec_precision); NULL when neither a date nor a time is found.
 
-    Two-digit years are Buddhist era (69 -> 2569 -> 2026).
+    Two-digit years are Buddhist era (69 -> 2569 -> 2026).  Three pattern matches per value.
     """
-    c = F.trim(col(c))
-    iso, dmy = r"(\d{4})-(\d{1,2})-(\d{1,2})", r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
-    g = lambda p, i: F.regexp_extract(c, p, i)
-    y_iso, y_dmy = g(iso, 1).try_cast("int"), g(dmy, 3).try_cast("int")
-    short = F.when(y_dmy < 100, y_dmy + 2500).otherwise(y_dmy)
-    date = (F.when(c.rlike(iso), _iso(_ce(y_iso), g(iso, 2), g(iso, 3)))
-            .when(c.rlike(dmy), _iso(_ce(short), g(dmy, 2), g(dmy, 1))))
-    has_time = c.rlike(_CLOCK)
-    return F.when(date.isNotNull() | has_time, F.struct(
-        date.alias("date"),
-        F.coalesce(sec_of(c), F.lit(0)).alias("sec"),
-        has_time.alias("has_time"),
-        (g(_CLOCK, 3) != "").alias("sec_precision"),
-    ))
+    text = F.trim(col(c))
+    found = F.struct(F.split(F.regexp_extract(text, r"\d{4}-\d{1,2}-\d{1,2}", 0), "-").alias("ymd"),
+                     _dmy_parts(text, r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}").alias("dmy"), F.regexp_extract(text, _CLOCK, 0).alias("clock"))
+
+    def short_year(y):
+        return let(F.when(y < 100, y + 2500).otherwise(y), _ce)
+
+    def dated(x):
+        by_iso = let(F.get(x["ymd"], F.lit(0)).try_cast("int"), lambda y: F.when(
+            y.isNotNull(), _iso(_ce(y), F.get(x["ymd"], F.lit(1)), F.get(x["ymd"], F.lit(2)))))
+        return F.struct(F.coalesce(by_iso, _iso_of_dmy(x["dmy"], short_year)).alias("date"), x["clock"].alias("clock"))
+
+    def final(x):
+        clock = x["clock"]
+        return F.when(x["date"].isNotNull() | (clock != ""), F.struct(
+            x["date"].alias("date"), F.coalesce(_sec_of_clock(clock), F.lit(0)).alias("sec"), (clock != "").alias("has_time"),
+            (F.length(clock) - F.length(F.translate(clock, ":", "")) == 2).alias("sec_precision")))
+
+    return let(let(found, dated), final)
 
 
 def iso_of_statement(c) -> Column:
     """Statement dates: two-digit years above 50 are Buddhist era, the others common era."""
-    c = col(c)
-    p = r"(\d{1,2})[-/](\d{1,2})[-/](\d{2,4})"
-    y = F.regexp_extract(c, p, 3).try_cast("int")
-    full = F.when(y < 100, F.when(y > 50, y + 1957).otherwise(y + 2000)).otherwise(y)
-    return F.when(c.rlike(p), _iso(_ce(full), F.regexp_extract(c, p, 2), F.regexp_extract(c, p, 1)))
+    def year(y):
+        return let(F.when(y < 100, F.when(y > 50, y + 1957).otherwise(y + 2000)).otherwise(y), _ce)
+
+    return let(_dmy_parts(col(c), r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"), lambda p: _iso_of_dmy(p, year))
 
 
 def hhmmss(sec) -> Column:

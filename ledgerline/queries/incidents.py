@@ -67,11 +67,11 @@ def confirmed_outage(t: Tables) -> DataFrame:
     return o.select("domain", "confirmed", F.col("th_fail").alias("th"), F.col("foreign_fail").alias("fo"), F.col("ssl_days_left").cast("bigint").alias("ssl"), "type", "severity")
 
 
-_ACT = """a as (select l_orderkey as id, cast(l_shipdate as timestamp) + to_minutes(l_partkey%600) as at, (l_linenumber*100000+l_partkey) as seq,
+_ACT = """a as (select l_orderkey as id, cast(l_shipdate as timestamp) + to_minutes(l_partkey%600) as tat, (l_linenumber*100000+l_partkey) as seq,
  case l_linenumber%5 when 0 then 'admin_ack' when 1 then 'it_ack' when 2 then 'it_resolve' when 3 then 'admin_update' else 'close' end as act from lineitem),
 o as (select o_orderkey as id, cast(o_orderdate as timestamp) as base from orders),
-h as (select id, arg_max(act, strftime(at,'%Y%m%d%H%M')||lpad(cast(seq as varchar),9,'0')) as hard from a where act in ('admin_update','close') group by 1),
-m as (select o.id, base, max(case when act='admin_update' then at end) au, max(case when act='it_resolve' then at end) ir, min(case when act in ('it_ack','it_resolve') then at end) ia from o left join a using (id) group by o.id, base)"""
+h as (select id, arg_max(act, strftime(tat,'%Y%m%d%H%M')||lpad(cast(seq as varchar),9,'0')) as hard from a where act in ('admin_update','close') group by 1),
+m as (select o.id, base, max(case when act='admin_update' then tat end) au, max(case when act='it_resolve' then tat end) ir, min(case when act in ('it_ack','it_resolve') then tat end) ia from o left join a using (id) group by o.id, base)"""
 
 
 def _order_incidents(t: Tables) -> DataFrame:

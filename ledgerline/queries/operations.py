@@ -108,7 +108,7 @@ def daily_status(t: Tables) -> DataFrame:
 
 
 _R = """r as (select l_orderkey*10+l_linenumber as id, l_orderkey, l_linenumber, l_partkey, date_trunc('month', cast(l_shipdate as date)) as bd, cast(l_quantity as bigint) as stm, l_suppkey as matched,
- case when l_discount < 0.02 then 0 else cast(round(l_discount*1000) as bigint) end as rate, l_linenumber as exc, cast(l_shipdate as timestamp) as at from lineitem)"""
+ case when l_discount < 0.02 then 0 else cast(round(l_discount*1000) as bigint) end as rate, l_linenumber as exc, cast(l_shipdate as timestamp) as tat from lineitem)"""
 
 
 def _runs(t: Tables) -> DataFrame:
@@ -166,15 +166,15 @@ def current_exceptions(t: Tables) -> DataFrame:
     return jobs.current_exceptions(_jobs(t), e).groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("latest_run", f"""with {_J}, {_R}, m as (select j.id, r.at, l_orderkey||'-'||l_linenumber||'-'||l_partkey as rid from j join r on r.l_orderkey=j.id where status='running' and r.at >= claimed)
-select id as job, max(strftime(at,'%Y-%m-%d')||'|'||rid) as run from m group by id""")
+@check("latest_run", f"""with {_J}, {_R}, m as (select j.id, r.tat, l_orderkey||'-'||l_linenumber||'-'||l_partkey as rid from j join r on r.l_orderkey=j.id where status='running' and r.tat >= claimed)
+select id as job, max(strftime(tat,'%Y-%m-%d')||'|'||rid) as run from m group by id""")
 def latest_run(t: Tables) -> DataFrame:
     r = jobs.latest_run_per_job(_jobs(t), _runs(t))
     return r.select(F.col("job_id").cast("bigint").alias("job"), F.concat_ws("|", F.date_format("created_at", "yyyy-MM-dd"), "run_id").alias("run"))
 
 
-@check("finished_files", f"""with {_J}, {_R}, m as (select j.id, r.at, l_orderkey||'-'||l_linenumber||'-'||l_partkey as rid, l_partkey from j join r on r.l_orderkey=j.id where status='running' and r.at >= claimed),
-d as (select distinct arg_max(l_partkey, strftime(at,'%Y-%m-%d')||'|'||rid) as p from m group by id) select p_partkey as id, p_size%2=0 or p_partkey in (select p from d) as parsed from part""")
+@check("finished_files", f"""with {_J}, {_R}, m as (select j.id, r.tat, l_orderkey||'-'||l_linenumber||'-'||l_partkey as rid, l_partkey from j join r on r.l_orderkey=j.id where status='running' and r.tat >= claimed),
+d as (select distinct arg_max(l_partkey, strftime(tat,'%Y-%m-%d')||'|'||rid) as p from m group by id) select p_partkey as id, p_size%2=0 or p_partkey in (select p from d) as parsed from part""")
 def finished_files(t: Tables) -> DataFrame:
     files = t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 2 == 0).alias("parsed"), F.lit("e").alias("parse_error"))
     return jobs.mark_run_files(files, jobs.latest_run_per_job(_jobs(t), _runs(t))).select("id", "parsed")

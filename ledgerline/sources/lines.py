@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files to ``stm_lines``; line numbers count non-blank lines of a page, form feeds separate pages."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("body"))
+    docs = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("body"))
     return split_lines(docs)
 
 
