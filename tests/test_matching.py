@@ -147,3 +147,14 @@ def test_conservation(spark):
     assert run.pairs.select("job_company", "bo_seq").distinct().count() == pairs
     left = run.bo_left.count()
     assert left + pairs == 300
+
+
+@pytest.mark.parametrize("by_time", [False, True])
+def test_untimed_hot_group_is_zipped(spark, by_time):
+    """A statement without times in a group above the cap: exact without a whole-day slice."""
+    rnd = random.Random(11)
+    side = lambda timed: dict(sec=rnd.randrange(0, 80000) if timed else 0, amount=rnd.choice([10, 20]), account="A", job="J", no_time=not timed,
+                              dir=rnd.choice(["deposit", "withdraw"]), coarse=True)
+    stm, bo = [side(False) for _ in range(70)], [side(True) for _ in range(60)]
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(max_group_rows=10), by_time)).collect()
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), by_time)
