@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import tokenize
+from ledgerline.llm import packing, pii, secret_scan, tokenize
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +26,28 @@ def query(name: str, sql: str | None = None):
 @query("op2_sentencepiece")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.digest_documents(table(spark, folder, "documents"))
+
+
+@query("op9_secret_scan")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_documents(table(spark, folder, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@query("op10_mixture_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+#: Key of the check queries; a real run passes a secret of its own.
+PII_KEY = "check"
+
+
+@query("op5_pii_pseudonyms")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    out = pii.with_pseudonyms(table(spark, folder, "documents").select("doc_id", "text"), PII_KEY, found="found")
+    count = lambda kind: F.size(F.filter("found", lambda h: h["kind"] == kind)).cast("bigint")
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], "text")
