@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import configure, stage
 
-__all__ = ["stage", "table", "fold", "text_slices", "arrow_rows", "sum_arrays", "tokenizer_path"]
+__all__ = ["stage", "table", "fold", "text_slices", "arrow_rows", "block_pairs", "map_groups", "tree_sum", "lower_in_place", "crc", "tokenizer_path"]
 
 #: Characters handled at once inside a task; bounds the memory of the vectorised kernels.
 SLICE_CHARS = 1_000_000
@@ -58,18 +58,66 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-def sum_arrays(parts: DataFrame, key: str, values: str, fan_in: int = 32) -> DataFrame:
-    """Sum of equally long double arrays (as bytes) per ``key``, in two steps so that no task gets every part.
+def tree_sum(parts: DataFrame) -> np.ndarray | None:
+    """Sum of the double arrays (as bytes) in the only column of ``parts``, merged level by level on the executors; None without rows.
 
-    ``parts`` has one row per key and task at most, like the partial sums of an aggregate.
+    Meant for one array of fixed length from each task.
     """
+    got = parts.rdd.map(lambda r: bytes(r[0])).treeAggregate(b"", _add_bytes, _add_bytes)
+    return np.frombuffer(got, "<f8") if got else None
 
-    def add(pdf):
-        import pandas as pd
 
-        total = np.sum([np.frombuffer(b, "<f8") for b in pdf[values]], axis=0)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], values: [total.tobytes()]})
+def _add_bytes(a: bytes, b: bytes) -> bytes:
+    if not a or not b:
+        return a or b
+    return (np.frombuffer(a, "<f8") + np.frombuffer(b, "<f8")).tobytes()
 
-    schema = f"{key} bigint, {values} binary"
-    part = parts.select(key, values, F.pmod(F.spark_partition_id(), F.lit(fan_in)).alias("__part"))
-    return part.groupBy(key, "__part").applyInPandas(add, schema).groupBy(key).applyInPandas(add, schema)
+
+def lower_in_place(text: str) -> str:
+    """Lower case with every character at its place: one whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def block_pairs(rows: DataFrame, group: list[str], spread: str, values: list[str]) -> DataFrame:
+    """``rows`` placed into every pair of blocks (``x`` <= ``y``) of its group that it takes part in.
+
+    ``rows`` has ``blocks``, the number of blocks of its group; a hash of ``spread`` chooses the block.  ``side`` is 1 for rows of the
+    higher of two different blocks.  All pairs of rows of a group thus meet in tasks of two blocks, however large the group is.
+    """
+    own = rows.withColumn("__block", F.pmod(F.xxhash64(spread), F.col("blocks")))
+    placed = own.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)))
+    return placed.select(*group, F.least("__block", "__other").alias("x"), F.greatest("__block", "__other").alias("y"), (F.col("__block") > F.col("__other")).cast("int").alias("side"), *values)
+
+
+def map_groups(rows: DataFrame, group: list[str], values: list[str], compare, schema: str) -> DataFrame:
+    """``compare(key, rows)`` for each group, which must be of bounded size; yields tuples of ``schema``.
+
+    Many small groups share a task, so a group costs no call of its own between Spark and Python.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    n, target = len(group), to_arrow_schema(StructType.fromDDL(schema))
+
+    def pack(out):
+        columns = zip(*out) if out else [[]] * len(target)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target)], schema=target)
+
+    def run(batches):
+        held, key, out = [], None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != key:
+                    if held:
+                        out.extend(compare(key, held))
+                    held, key = [], row[:n]
+                    if len(out) > 10_000:
+                        yield pack(out)
+                        out = []
+                held.append(row[n:])
+        if held:
+            out.extend(compare(key, held))
+        yield pack(out)
+
+    return rows.select(*group, *values).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, pii, secret_scan, tokenize
+from ledgerline.llm import minhash, packing, pii, quality, secret_scan, tokenize, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     out = pii.with_pseudonyms(table(spark, folder, "documents").select("doc_id", "text"), PII_KEY, found="found")
     count = lambda kind: F.size(F.filter("found", lambda h: h["kind"] == kind)).cast("bigint")
     return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS], "text")
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_bagminhash_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.deduplicate(table(spark, folder, "documents"))

@@ -14,7 +14,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import arrow_rows
+from ledgerline.llm.common import arrow_rows, lower_in_place
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm")
@@ -52,12 +52,6 @@ def _automaton():
     return found
 
 
-def _lower(text: str) -> str:
-    """Lower case with every character at its place: a letter whose lower case is longer stays as it is."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
 def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     """(start, index of the kind in :data:`KINDS`, end) of each secret, in order; code points, end exclusive.
 
@@ -66,7 +60,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return []
     spans, free = [], dict.fromkeys(KINDS, 0)
-    hits = sorted((end - size + 1, kind) for end, (kind, size) in _automaton().iter(_lower(text)))
+    hits = sorted((end - size + 1, kind) for end, (kind, size) in _automaton().iter(lower_in_place(text)))
     for start, kind in hits:
         if start < free[kind]:
             continue
