@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import minhash, packing, pii, quality, secret_scan, tokenize, toxicity
+from ledgerline.llm import embedding_dedup, language_id, minhash, nearest, packing, pii, quality, secret_scan, tokenize, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_bagminhash_dedup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.deduplicate(table(spark, folder, "documents"))
+
+
+@query("op6_hilbert_neighbours")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op7_projection_forest_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
