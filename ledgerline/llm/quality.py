@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,8 +160,6 @@ def score_statistics(stats: DataFrame, model: QualityModel) -> DataFrame:
 
 def score_text(model: QualityModel, text: Column) -> Column:
     """Score of a text column, for filters on whole rows."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(NAMES))))

@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,10 +179,6 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def score_text(model: ToxicityModel, text: Column) -> Column:
     """Score of a text column, for filters on whole rows."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         emissions = _Emissions(model.weights)
