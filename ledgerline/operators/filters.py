@@ -44,11 +44,13 @@ def link_search(links: DataFrame, query: str | None = None, company: str | None
     return links
 
 
-def open_incidents(incidents: DataFrame, company: str | None = None, newest: int = 200) -> DataFrame:
+def open_incidents(incidents: DataFrame, company: str | None = None, newest: int | None = None) -> DataFrame:
+    """Open incidents, newest first; ``newest`` limits a listing."""
     found = incidents.filter("status <> 'CLOSED'")
     if company is not None:
         found = found.filter(F.col("company_id") == company)
-    return found.orderBy(F.col("detected_at").desc(), "id").limit(newest)
+    found = found.orderBy(F.col("detected_at").desc(), "id")
+    return found if newest is None else found.limit(newest)
 
 
 def active_cases(exceptions: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def live_exception_view(exceptions: DataFrame, now: Column) -> DataFrame:
         age.alias("age_hours"), sla.alias("sla_hours"), ((age > sla) & ~status.isin(fixed.CLOSED_STATES)).alias("over_sla"))
 
 
-def sort_page(df: DataFrame, column: str, ascending: bool = True, page: int = 1, size: int = 12, tie: str = "id") -> DataFrame:
+def sort_page(df: DataFrame, column: str, ascending: bool = True, page: int = 1, *, size: int, tie: str = "id") -> DataFrame:
     """One page in a total order; a page beyond the last shows the last one."""
     last = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size))
     page = min(page, df.agg(last.alias("n")).first()["n"]) if page > 1 else 1

@@ -38,13 +38,16 @@ def incident_intervals(probes: DataFrame) -> DataFrame:
         F.when(F.col("resolved_at").isNotNull(), F.greatest(F.lit(1), minutes_between("ts", "resolved_at"))).cast("bigint").alias("down_minutes"))
 
 
-def confirmed_outage(probes: DataFrame, look_back: int = 40) -> DataFrame:
-    """Per domain over its newest probes: checkpoints whose last two probes both failed, split by region.
+def confirmed_outage(probes: DataFrame, look_back: int | None = None) -> DataFrame:
+    """Per domain: checkpoints whose last two probes both failed, split by region.
 
-    ``probes``: domain, checkpoint, region, ts, probe_id, ok, ssl_days_left.  The row_number limit is applied before the shuffle.
+    ``probes``: domain, checkpoint, region, ts, probe_id, ok, ssl_days_left.  ``look_back`` restricts a domain to its newest probes;
+    without it every checkpoint counts.
     """
-    newest = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("ts").desc(), F.col("probe_id").desc()))
-    recent = probes.withColumn("rn", newest).filter(F.col("rn") <= look_back)
+    recent = probes
+    if look_back is not None:
+        newest = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("ts").desc(), F.col("probe_id").desc()))
+        recent = probes.withColumn("rn", newest).filter(F.col("rn") <= look_back)
     last = F.row_number().over(Window.partitionBy("domain", "checkpoint").orderBy(F.col("ts").desc(), F.col("probe_id").desc()))
     tagged = recent.withColumn("k", last)
     per = tagged.groupBy("domain", "checkpoint").agg(

@@ -46,8 +46,8 @@ def batch_files(batches: DataFrame, files: DataFrame) -> DataFrame:
     return batches.withColumnRenamed("id", "batch_id").withColumnRenamed("status", "batch_status").join(f, "batch_id", "left")
 
 
-def batch_listing(batches: DataFrame, files: DataFrame, start=None, end=None, company: str | None = None, page: int = 0, size: int = 1000) -> DataFrame:
-    """A page of mails, newest first, with their files in long form."""
+def batch_listing(batches: DataFrame, files: DataFrame, start=None, end=None, company: str | None = None, page: int = 0, size: int | None = None) -> DataFrame:
+    """Mails with their files in long form; with ``size`` one page of them, newest first."""
     b = batches
     if start is not None:
         b = b.filter(F.col("business_date") >= F.lit(start).cast("date"))
@@ -55,7 +55,8 @@ def batch_listing(batches: DataFrame, files: DataFrame, start=None, end=None, co
         b = b.filter(F.col("business_date") <= F.lit(end).cast("date"))
     if company not in (None, "ALL"):
         b = b.filter(F.col("company") == company)
-    b = b.orderBy(F.col("received_at").desc(), "id").offset(page * size).limit(size)
+    if size is not None:
+        b = b.orderBy(F.col("received_at").desc(), "id").offset(page * size).limit(size)
     return batch_files(b, files)
 
 
@@ -229,16 +230,17 @@ def status_counts(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in names])
 
 
-def digest_hourly(jobs: DataFrame, now: Column, previous_total: int | None = None) -> dict[str, DataFrame]:
-    """Counts, the newest eight jobs with files missing, the newest three failed ones."""
+def digest_hourly(jobs: DataFrame, now: Column, previous_total: int | None = None, most_missing: int | None = None, most_failed: int | None = None) -> dict[str, DataFrame]:
+    """Counts, the jobs with files missing and the failed ones, newest first; limits are for messages of bounded length."""
     total = F.max("actual_file_total")
     counts = jobs.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "queued", "running", "error")],
                       F.count_if(F.col("status").isin("needs_review", "waiting_files")).alias("review"),
                       F.count_if(F.col("updated_at") >= now - F.expr("interval 1 hour")).alias("changed"), total.alias("file_total"),
                       F.greatest(F.lit(0), total - F.lit(previous_total) if previous_total is not None else F.lit(0)).alias("file_delta"))
-    missing = jobs.filter(F.col("status").isin("needs_review", "waiting_files")).orderBy(F.col("business_date").desc(), "company").limit(8)
-    failed = jobs.filter("status = 'error'").orderBy(F.col("updated_at").desc(), "company").limit(3)
-    return {"counts": counts, "missing": missing, "failed": failed}
+    missing = jobs.filter(F.col("status").isin("needs_review", "waiting_files")).orderBy(F.col("business_date").desc(), "company")
+    failed = jobs.filter("status = 'error'").orderBy(F.col("updated_at").desc(), "company")
+    cut = lambda df, n: df if n is None else df.limit(n)
+    return {"counts": counts, "missing": cut(missing, most_missing), "failed": cut(failed, most_failed)}
 
 
 def file_deltas(totals: DataFrame) -> DataFrame:

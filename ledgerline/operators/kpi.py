@@ -39,6 +39,7 @@ def top_k(df: DataFrame, column: str, k: int, amount: str | None = None) -> Data
 
 
 def newest_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """First n rows in the given order."""
     return df.orderBy(*order).limit(n)
 
 
@@ -80,8 +81,10 @@ def approval_counts(exceptions: DataFrame) -> DataFrame:
     return exceptions.agg(n("clarifying").alias("clarifying"), n("answered").alias("answered"), n("damage").alias("damage"), n(*fixed.CLOSED_STATES).alias("closed"))
 
 
-def approval_queue(exceptions: DataFrame, n: int = 20) -> DataFrame:
-    return exceptions.filter(F.col("status").isin("answered", "clarifying", "damage")).orderBy("date", "id").limit(n)
+def approval_queue(exceptions: DataFrame, n: int | None = None) -> DataFrame:
+    """Cases that wait for a decision, oldest first; ``n`` limits a listing."""
+    waiting = exceptions.filter(F.col("status").isin("answered", "clarifying", "damage"))
+    return waiting.orderBy("date", "id") if n is None else newest_n(waiting, [F.col("date"), F.col("id")], n)
 
 
 def with_track(exceptions: DataFrame, systems: DataFrame) -> DataFrame:

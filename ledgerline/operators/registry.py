@@ -13,11 +13,12 @@ from ledgerline.functions import scalars as S
 from ledgerline.functions import text as X
 
 
-def _bigrams(c) -> Column:
-    """Distinct two-letter pieces of a text."""
-    n = F.length(c)
-    return F.when(n >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2))))).otherwise(
-        F.array().cast("array<string>"))
+def _parts(files: DataFrame, words: DataFrame, key: str, word: str) -> DataFrame:
+    """Distinct parts of each name that are as long as a word of its bank or provider."""
+    lengths = words.groupBy(key).agg(F.collect_set(F.length(word)).alias("lengths"))  # a few numbers
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("raw") - n + 1), lambda i: F.substring(F.col("raw"), i, n))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("raw")), cut)))
+    return files.join(lengths, key).select("file_id", key, F.explode(parts).alias(word))
 
 
 def describe_names(files: DataFrame) -> DataFrame:
@@ -31,16 +32,16 @@ def match_files(files: DataFrame, accounts: DataFrame) -> DataFrame:
 
     A gateway file needs the provider and a sub-company: contained in the name, else its short form (trailing digits
     dropped) as a whole word if that is unique.  A bank file scores registry rows by the holder words its name contains;
-    ties are reported.  Containment is tested only where a word's first two letters occur in the name, so the number of
-    candidates follows real overlaps instead of files x accounts.
+    ties are reported and go to the first row of the registry, whose order is ``ord``.  A name is cut into its parts of the lengths
+    that registry words have, and parts and words meet in an equi-join, so only real containments become rows.
     """
     f = describe_names(files)
-    numbered = accounts.withColumn("ord", F.xxhash64(*accounts.columns)) if "ord" not in accounts.columns else accounts
-    pm = numbered.filter("source = 'pm'").select("provider", "subco", "channel", "ord", X.name_norm("subco").alias("sub"))
+    if "ord" not in accounts.columns:
+        raise ValueError("accounts need ord, the registry's order, to decide ties")
+    pm = accounts.filter("source = 'pm'").select("provider", "subco", "channel", "ord", X.name_norm("subco").alias("sub"))
     pm_files = f.filter("provider is not null")
-    anchored = pm_files.select("file_id", "provider", "raw", F.explode(_bigrams(F.col("raw"))).alias("anchor"))
-    full = (anchored.join(pm.filter(F.length("sub") >= 2).withColumn("anchor", F.substring("sub", 1, 2)), ["provider", "anchor"])
-            .filter(F.col("raw").contains(F.col("sub"))).groupBy("file_id").agg(F.min_by(F.struct("subco", "channel"), "ord").alias("hit")))
+    subs = pm.filter(F.length("sub") >= 2)
+    full = (_parts(pm_files, subs, "provider", "sub").join(subs, ["provider", "sub"]).groupBy("file_id").agg(F.min_by(F.struct("subco", "channel"), "ord").alias("hit")))
     words = pm_files.select("file_id", "provider", F.explode(F.array_distinct(X.name_tokens("file_name"))).alias("short"))
     short = (words.join(pm.withColumn("short", F.regexp_replace("sub", r"\d+$", "")).filter(F.length("short") >= 2), ["provider", "short"])
              .groupBy("file_id").agg(F.min_by(F.struct("subco", "channel"), "ord").alias("hit"), F.count_distinct("subco").alias("n"))
@@ -53,12 +54,11 @@ def match_files(files: DataFrame, accounts: DataFrame) -> DataFrame:
         F.when(F.col("m").isNotNull(), "pm").alias("source"), F.when(F.col("m").isNotNull(), 2).alias("score"),
         F.when(F.col("m").isNull(), F.col("choices")).alias("ambiguous"), F.when(F.col("m").isNull(), fixed.REASON_PM_NO_SUBCO).alias("reason")))
 
-    bank = numbered.filter("source = 'bank'").select(
+    bank = accounts.filter("source = 'bank'").select(
         "bank", "account", "subco", "provider", "ord", F.posexplode(F.transform(X.name_words("name"), X.name_norm)).alias("at", "word"))
     bank_files = f.filter("provider is null and bank is not null")
-    anchored = bank_files.select("file_id", "bank", "raw", F.explode(_bigrams(F.col("raw"))).alias("anchor"))
-    scored = (anchored.join(bank.filter(F.length("word") >= 2).withColumn("anchor", F.substring("word", 1, 2)), ["bank", "anchor"])
-              .filter(F.col("raw").contains(F.col("word")))
+    bank = bank.filter(F.length("word") >= 2)
+    scored = (_parts(bank_files, bank, "bank", "word").join(bank, ["bank", "word"])
               .groupBy("file_id", "account", "subco", "ord").agg(F.count(F.lit(1)).alias("score")))
     best = scored.groupBy("file_id").agg(F.max("score").alias("score"))
     top = (scored.join(best, ["file_id", "score"]).groupBy("file_id", "score").agg(

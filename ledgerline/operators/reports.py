@@ -11,8 +11,8 @@ from ledgerline import fixed
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as X
 from ledgerline.operators.detect import column_index, detect_format, detect_reports
-from ledgerline.schema import TXN
-from ledgerline.session import spread, stage
+from ledgerline.schema import TXN, row_identity
+from ledgerline.session import stage
 from ledgerline.settings import Settings
 from ledgerline.sources.rows import not_blank
 
@@ -211,7 +211,7 @@ def _finish(df: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def _identity(cfg: Settings) -> dict[str, Column]:
-    seq = F.shiftleft(F.col("file_seq").cast("bigint"), 32) + F.col("row_no").cast("bigint")
+    seq = row_identity(F.col("file_seq"), F.col("row_no"))
     return {"txn_id": F.concat_ws("-", "file_id", "row_no"), "job_date": F.col("job_date"), "job_company": F.col("job_company"),
             "file_id": F.col("file_id"), "file_seq": F.col("file_seq"), "row_no": F.col("row_no"), "seq": seq, "raw": F.col("raw")}
 
@@ -233,7 +233,7 @@ def normalize_reports(rows: DataFrame, files: DataFrame, cfg: Settings = Setting
     out = None
     for code in sorted(codes):
         v = _Values(code)
-        part = _with_times(spread(routed.filter(F.col("format_code") == code)), code, v)
+        part = _with_times(routed.filter(F.col("format_code") == code), code, v)
         values = _identity(cfg) | {"format_code": F.col("format_code"), "side": F.col("side"), "company": X.company_of("file_name")} | _PARSERS[code](v)
         wrong = (F.col("job_date").isNotNull() & (values["date"] != F.date_format("job_date", "yyyy-MM-dd"))
                  & ~F.coalesce(values.get("cross_day", F.lit(False)), F.lit(False)))

@@ -1,7 +1,7 @@
 """Check queries over the given tables, each next to the SQL it must agree with."""
 from importlib import import_module
 
-_MODULES = ["recon", "scalars", "rules", "files", "operations", "kpis", "incidents", "streams"]
+_MODULES = ["recon", "scalars", "rules", "files", "operations", "kpis", "incidents", "streams", "runs"]
 
 
 def load():

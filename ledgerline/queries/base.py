@@ -5,21 +5,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.session import configure, spread
+from ledgerline.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 class Tables:
-    """Lazy access to the given parquet tables."""
+    """Lazy access to the given parquet tables.
+
+    The setting ``spark.ledgerline.read.partitions`` deals a table of few row groups over that many tasks; without it the file splits decide.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in ("events", "documents", "pages", "conversations") else table
+        parts = self.spark.conf.get("spark.ledgerline.read.partitions", None)
+        return table.repartition(int(parts)) if parts else table
 
 
 def check(name: str, sql: str | None = None):

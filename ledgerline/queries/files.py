@@ -136,13 +136,13 @@ def header(t: Tables) -> DataFrame:
     return statements.statement_header(statements.with_neighbours(docs)).select("account", "bank", "period", "holder")
 
 
-@check("fragment_lines", """select p.page_id as doc, cast(l.i as bigint) as line, 'w'||(l.i*3)||' w'||(l.i*3+1)||' w'||(l.i*3+2) as text from pages p, (select unnest(range(5)) as i) l""")
+@check("fragment_lines", r"""with w as (select page_id, unnest(string_split(html, ' ')) as s, generate_subscripts(string_split(html, ' '), 1) - 1 as k from pages),
+l as (select page_id, k, s, k // 3 * 2 + case when k % 3 = 2 then 1 else 0 end as line from w)
+select page_id as doc, cast(line as bigint) as line, trim(regexp_replace(string_agg(s, ' ' order by k), '[\s\x{00A0}]+', ' ', 'g')) as text from l group by 1, 2""")
 def fragment_lines(t: Tables) -> DataFrame:
-    """Fragments three to a line with a jitter of one unit, in shuffled order."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(14)))
-    f = t.pages.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_no"), k.alias("k"))
-    line = F.floor(F.col("k") / 3)
-    f = f.select("doc_id", "page_no", (F.col("k") % 3 * 50).alias("x"), (F.lit(700) - line * 20 + F.col("k") % 2).alias("y"), _cat("w", F.col("k")).alias("s"))
+    """Words of a page, three to a row whose y drifts by two units a word: the third is too far from the first."""
+    f = t.pages.select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_no"), F.posexplode(F.split("html", " ")).alias("k", "s"))
+    f = f.select("doc_id", "page_no", (F.col("k") % 3 * 50).alias("x"), (F.lit(700) - F.floor(F.col("k") / 3) * 20 - F.col("k") % 3 * 2).alias("y"), "s")
     return L.group_fragments(f).select(F.col("doc_id").alias("doc"), F.col("line_no").cast("bigint").alias("line"), "text")
 
 
@@ -300,13 +300,13 @@ def detect(t: Tables) -> DataFrame:
     return d.select(F.col("file_id").alias("file"), "source", "bank", F.col("header_row").cast("bigint").alias("header_row"), F.array_join(F.array_sort(F.map_keys("map")), ",").alias("columns"))
 
 
-@check("pick_sheet", """select page_id as file, case when page_id%3=0 then 1 else 0 end as sheet, cast(case when page_id%3=0 then 4 else 2 end as bigint) as n from pages""")
+@check("pick_sheet", r"""with l as (select page_id, unnest(string_split(html, '<')) as cell, generate_subscripts(string_split(html, '<'), 1) as i from pages), r as (select *, case when page_id%3<>0 or i=1 then 0 else 1 end as sheet from l),
+n as (select page_id, sheet, count(*) as n from r group by 1, 2), p as (select page_id, coalesce(min(case when n>1 then sheet end), min(sheet)) as sheet from n group by 1)
+select page_id as file, sheet, count(*) as n from r join p using (page_id, sheet) where trim(cell) <> '' group by 1, 2""")
 def pick_sheet(t: Tables) -> DataFrame:
-    """Two sheets per file; every third file has a single row on its first sheet."""
-    first = F.when(F.col("page_id") % 3 == 0, 1).otherwise(2)
-    a = t.pages.select(F.col("page_id").alias("file_id"), F.lit(0).alias("sheet_no"), F.explode(F.sequence(F.lit(1), first)).alias("row_no"))
-    b = t.pages.select(F.col("page_id").alias("file_id"), F.lit(1).alias("sheet_no"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("row_no"))
-    cells = a.unionByName(b).withColumn("cells", F.array(F.col("row_no").cast("string")))
+    """The tags of a page as rows; every third page has a single row on its first sheet and the rest on the second."""
+    cells = t.pages.select(F.col("page_id").alias("file_id"), F.posexplode(F.split("html", "<")).alias("i", "cell"))
+    cells = cells.select("file_id", F.when((F.col("file_id") % 3 != 0) | (F.col("i") == 0), 0).otherwise(1).alias("sheet_no"), (F.col("i") + 1).alias("row_no"), F.array("cell").alias("cells"))
     return R.pick_sheet(cells).groupBy(F.col("file_id").alias("file"), F.col("sheet_no").alias("sheet")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -314,7 +314,7 @@ def pick_sheet(t: Tables) -> DataFrame:
 from supplier where s_suppkey%10<>0 union all select s_suppkey, null, null, null, null, true from supplier where s_suppkey%10=0""")
 def links_import(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
-    head = t.supplier.limit(1).select(F.lit(1).alias("row_no"), F.array(*[F.lit(c) for c in ("ชื่อ", "URL", "หมวด", "ห้อง")]).alias("cells"))
+    head = t.spark.range(1).select(F.lit(1).alias("row_no"), F.array(*[F.lit(c) for c in ("ชื่อ", "URL", "หมวด", "ห้อง")]).alias("cells"))
     body = t.supplier.select((k + 2).cast("int").alias("row_no"), F.array(
         F.when(k % 10 == 0, "").otherwise(F.col("s_name")), _cat("https://x/", k), F.when(k % 4 == 0, "").otherwise(_cat("cat", k % 4)), _cat("G", F.col("s_nationkey") % 5)).alias("cells"))
     links, errors = R.read_links(head.unionByName(body).withColumn("file_id", F.lit("f")), "C1")

@@ -37,14 +37,14 @@ def incidents_per_day(t: Tables) -> DataFrame:
     return incidents.incidents_per_day(incidents.incident_intervals(probes(t)), F.lit("2024-02-01").cast("date")).select("label", "n")
 
 
-_TABLE = """x as (select event_id, cast(user_id%7 as varchar) as domain, cast(user_id%5 as varchar) as cp, case when user_id%5 < 3 then 'TH' else 'SG' end as region, ts, event_type not in ('error','click') as ok, user_id%90 as ssl from events)"""
+_TABLE = """x as (select event_id, cast(user_id%7 as varchar) as domain, cast(user_id%63 as varchar) as cp, case when user_id%63 < 30 then 'TH' else 'SG' end as region, ts, event_type not in ('error','click') as ok, user_id%90 as ssl from events)"""
 
 
 def _checkpoints(t: Tables) -> DataFrame:
     """Probe JSON written from events and parsed back."""
     ok = ~F.col("event_type").isin("error", "click")
     u = F.col("user_id")
-    body = F.to_json(F.struct((u % 7).cast("string").alias("domain"), (u % 5).cast("string").alias("checkpoint"), F.when(u % 5 >= 3, "SG").alias("region"), ok.alias("dns_ok"),
+    body = F.to_json(F.struct((u % 7).cast("string").alias("domain"), (u % 63).cast("string").alias("checkpoint"), F.when(u % 63 >= 30, "SG").alias("region"), ok.alias("dns_ok"),
                               F.lit("true").alias("tcp_ok"), F.lit(True).alias("http_ok"), ok.cast("string").alias("keyword_ok"), (u % 90).alias("ssl_days_left"), F.lit("12.5").alias("latency_ms")))
     wrapped = F.when(F.col("event_id") % 2 == 0, body).otherwise(F.to_json(F.struct(F.lit("1").alias("v"), body.alias("body"))))
     raw = t.events.select(F.col("event_id").alias("probe_id"), F.col("ts").cast("timestamp").alias("ts"), wrapped.alias("value"))
@@ -57,7 +57,7 @@ def probe_events(t: Tables) -> DataFrame:
     return p.select(F.col("probe_id").alias("id"), "domain", F.col("checkpoint").alias("cp"), "region", "ok", F.col("ssl_days_left").cast("bigint").alias("ssl"), F.col("latency_ms").alias("latency"))
 
 
-@check("confirmed_outage", f"""with {_TABLE}, r as (select * from (select *, row_number() over (partition by domain order by ts desc, event_id desc) rn from x) where rn <= 40),
+@check("confirmed_outage", f"""with {_TABLE}, r as (select * from x),
 l as (select *, row_number() over (partition by domain, cp order by ts desc, event_id desc) k from r), c as (select domain, cp, any_value(region) region, count(*) filter (where k<=2 and not ok)=2 as failing from l group by 1, 2),
 o as (select domain, count(*) filter (where failing)>=2 as confirmed, count(*) filter (where failing and region='TH') th, count(*) filter (where failing and region<>'TH') fo, bool_or(region<>'TH') hf from c group by 1)
 select o.domain, confirmed, th, fo, (select min(ssl) from r where r.domain=o.domain) as ssl, case when th>=2 and fo=0 and hf then 'ถูกบล็อกระดับ ISP' when th>=2 and fo>=1 then 'เซิร์ฟเวอร์หรือผู้ให้บริการโฮสต์ล่ม' else 'ผิดปกติบางจุดตรวจ ยังสรุปสาเหตุไม่ได้' end as type,
@@ -102,7 +102,7 @@ def incident_kpis(t: Tables) -> DataFrame:
     return incidents.incident_kpis(r, F.lit("1998-06-01").cast("timestamp")).select("open_incidents", F.col("incidents_30d").alias("last30"), F.col("avg_admin_min").alias("admin_min"))
 
 
-@check("open_incidents", f"""with {_ACT} select m.id from m left join h using (id) where coalesce(hard,'')<>'close' order by base desc, m.id limit 200""")
+@check("open_incidents", f"""with {_ACT} select m.id from m left join h using (id) where coalesce(hard,'')<>'close'""")
 def open_incidents(t: Tables) -> DataFrame:
     r = incidents.response_minutes(_order_incidents(t), _actions(t)).withColumn("id", F.col("incident_id"))
     return filters.open_incidents(r).select("id")

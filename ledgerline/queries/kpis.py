@@ -42,7 +42,7 @@ def damages(t: Tables) -> DataFrame:
  union all select 'nobody', 0, 0, 0, 0, 0, 'ต่ำ'""")
 def employee_kpi(t: Tables) -> DataFrame:
     c = cases(t)
-    staff = c.select("employee").distinct().unionByName(t.region.limit(1).select(F.lit("nobody").alias("employee")))
+    staff = c.select("employee").distinct().unionByName(t.spark.range(1).select(F.lit("nobody").alias("employee")))
     return kpi.employee_kpi(c, staff).select("employee", "cases", "critical", "high", "over_sla", F.col("risk_amount").alias("risk"), "band")
 
 
@@ -80,7 +80,7 @@ def active_cases(t: Tables) -> DataFrame:
 
 @check("sort_page", f"with {_E} select id, risk from e order by risk desc, id limit 12 offset 24")
 def sort_page(t: Tables) -> DataFrame:
-    return filters.sort_page(cases(t), "risk_amount", ascending=False, page=3).select("id", F.col("risk_amount").alias("risk"))
+    return filters.sort_page(cases(t), "risk_amount", ascending=False, page=3, size=12).select("id", F.col("risk_amount").alias("risk"))
 
 
 @check("damage_by_cycle", f"""with {_D} select cycle, shift, cast(sum(amt) as bigint) as amount, count(*) filter (where not ev) as without_evidence, count(*) filter (where not ev)=0 as closable from dm group by 1, 2""")
@@ -109,7 +109,7 @@ def approval_counts(t: Tables) -> DataFrame:
     return kpi.approval_counts(cases(t))
 
 
-@check("approval_queue", f"with {_E} select id, status from e where status in ('answered','clarifying','damage') order by d, id limit 20")
+@check("approval_queue", f"with {_E} select id, status from e where status in ('answered','clarifying','damage') order by d, id")
 def approval_queue(t: Tables) -> DataFrame:
     return kpi.approval_queue(cases(t)).select("id", "status")
 
@@ -203,10 +203,10 @@ def close_checklist(t: Tables) -> DataFrame:
     return filters.close_checklist(c).select("id", "ready")
 
 
-@check("live_exceptions", f"""with {_E} select id, case when id%9=0 then 'medium' else sev end as severity, cast(floor((epoch(timestamp '1998-12-31 12:00:00') - epoch(cast(d as timestamp)))/3600) as bigint) as age, '-' as bank from e where d < date '1998-12-01'""")
+@check("live_exceptions", f"""with {_E} select id, case when id%9=0 then 'medium' else sev end as severity, cast(floor((epoch(timestamp '1998-12-31 12:00:00') - epoch(cast(d as timestamp)))/3600) as bigint) as age, '-' as bank from e""")
 def live_exceptions(t: Tables) -> DataFrame:
     k = F.col("id")
-    c = cases(t).filter("date < date'1998-12-01'")
+    c = cases(t)
     raw = c.select("id", F.lit(None).cast("string").alias("code"), F.lit("r").alias("run_id"), F.col("date").alias("business_date"), F.lit("10:00:00").alias("occurred_at"), "company", F.lit("").alias("bank"), "account",
                    F.lit(None).cast("string").alias("direction"), F.lit(None).cast("string").alias("member_code"), F.col("type").alias("ex_type"), F.lit(None).cast("string").alias("type_name"),
                    F.when(k % 9 != 0, F.col("severity")).alias("severity"), "status", F.lit(1).alias("system_amount"), F.lit(1).alias("bank_amount"), F.lit(None).cast("int").alias("amount_diff"), "risk_amount",

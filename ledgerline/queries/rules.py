@@ -50,8 +50,7 @@ def _commissions(t: Tables) -> DataFrame:
 
 def _cuts(t: Tables) -> DataFrame:
     k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    li = t.lineitem.filter("l_returnflag = 'R'")
-    return li.select(
+    return t.lineitem.select(
         F.trunc("l_shipdate", "month").alias("job_date"), F.lit("ALL").alias("job_company"), F.trunc("l_shipdate", "month").alias("date"),
         F.concat(F.lit("M"), F.col("l_suppkey") % 50).alias("member_code"), F.lit(None).cast("string").alias("member_nick"),
         (k * 1000000 + F.col("l_partkey")).alias("seq"), F.lit(0).alias("sec"), F.col("l_quantity").cast("decimal(16,2)").alias("amount"), F.lit(None).cast("decimal(16,2)").alias("entitled"),
@@ -60,7 +59,7 @@ def _cuts(t: Tables) -> DataFrame:
 
 _COMM = """c as (select date_trunc('month', cast(o_orderdate as date)) as d, 'M'||(o_custkey%50) as m, o_orderkey as seq, cast(round(o_totalprice*100) as bigint) as amt, o_orderstatus<>'P' as ok,
  case when o_orderkey%3=0 then cast(round((o_totalprice - o_orderkey%100)*100) as bigint) end as ent, case when o_orderkey%3=1 then (o_orderkey%100)*100 end as exc from orders),
-k as (select date_trunc('month', cast(l_shipdate as date)) as d, 'M'||(l_suppkey%50) as m, (l_orderkey*10+l_linenumber)*1000000+l_partkey as seq, cast(l_quantity as bigint)*100 as amt from lineitem where l_returnflag='R')"""
+k as (select date_trunc('month', cast(l_shipdate as date)) as d, 'M'||(l_suppkey%50) as m, (l_orderkey*10+l_linenumber)*1000000+l_partkey as seq, cast(l_quantity as bigint)*100 as amt from lineitem)"""
 
 
 @check("commission_zip", f"""with {_COMM}, ca as (select *, row_number() over (partition by d, m order by seq) rn from c where ok),

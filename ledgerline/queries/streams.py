@@ -1,4 +1,4 @@
-"""Streams over the events table, run to the end of the available data and compared with the batch result."""
+"""Streams over the events table in several micro-batches, with late and repeated rows, compared with the batch result."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -7,43 +7,40 @@ from pyspark.sql import functions as F
 from ledgerline.queries.base import Tables, check
 from ledgerline.queries.incidents import INTERVAL_ROWS, INTERVALS, interval_rows
 from ledgerline.session import staging_path
-from ledgerline.streaming.ingest import ingest_stream
-from ledgerline.streaming.probes import incidents_so_far, probe_incidents_stream, probe_window_counts
+from ledgerline.streaming.probes import incidents_so_far, probe_incidents_stream, probe_window_counts, window_counts_so_far
+from ledgerline.streaming.tables import ingest_once, read_table
 
 
-def _stream(t: Tables) -> DataFrame:
-    schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    return raw.select((F.col("user_id") % 20).cast("string").alias("link_id"), F.col("event_id").alias("probe_id"), F.col("ts").cast("timestamp").alias("ts"),
-                      F.when(F.col("event_type") == "error", "DOWN").otherwise("UP").alias("status"))
+def _stream(t: Tables, copies: int) -> DataFrame:
+    """Events as files in an order that has nothing to do with time, one file per micro-batch; every third row comes ``copies`` times, in
+    different files."""
+    probes = t.events.select((F.col("user_id") % 20).cast("string").alias("link_id"), F.col("event_id").alias("probe_id"), F.col("ts").cast("timestamp").alias("ts"),
+                             F.when(F.col("event_type") == "error", "DOWN").otherwise("UP").alias("status"))
+    repeated = probes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("probe_id") % 3 == 0, copies).otherwise(1))))
+    folder = staging_path(t.spark, "probe-files")
+    repeated.repartition(4, F.xxhash64("probe_id", "copy")).drop("copy").write.parquet(folder)
+    return t.spark.readStream.schema(probes.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @check("stream_incidents_equals_batch", f"with {INTERVALS} {INTERVAL_ROWS}")
 def stream_incidents(t: Tables) -> DataFrame:
     folder = staging_path(t.spark, "incident-stream")
-    q = probe_incidents_stream(_stream(t), folder, f"{folder}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return interval_rows(incidents_so_far(t.spark, folder, int(q.lastProgress["batchId"])))
+    probe_incidents_stream(_stream(t, 2), folder, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return interval_rows(incidents_so_far(t.spark, folder))
 
 
-@check("stream_hourly_counts", """select strftime(date_trunc('hour', ts),'%Y-%m-%d %H:%M') as start, case when event_type='error' then 'DOWN' else 'UP' end as status, count(*) as n from events
- where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hour group by 1, 2""")
+@check("stream_hourly_counts", """select strftime(date_trunc('hour', ts),'%Y-%m-%d %H:%M') as start, case when event_type='error' then 'DOWN' else 'UP' end as status, count(*) as n from events group by 1, 2""")
 def stream_hourly(t: Tables) -> DataFrame:
     folder = staging_path(t.spark, "hourly-stream")
-    q = (probe_window_counts(_stream(t)).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-         .option("path", f"{folder}/out").trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = t.spark.read.schema("start timestamp, status string, n bigint").parquet(f"{folder}/out")
+    probe_window_counts(_stream(t, 1), f"{folder}/counts", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = window_counts_so_far(t.spark, f"{folder}/counts")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "status", "n")
 
 
-@check("stream_ingest_once", "select count(distinct event_id) as n, count(distinct user_id%20) as links from events")
+@check("stream_ingest_once", "select event_id as id, strftime(ts,'%Y-%m-%d %H:%M:%S') as at, case when event_type='error' then 'DOWN' else 'UP' end as status from events")
 def stream_ingest(t: Tables) -> DataFrame:
-    """Every row arrives twice in the same micro-batch and is kept once."""
+    """Rows that come again in a later micro-batch are kept once, and rows older than all before are kept."""
     folder = staging_path(t.spark, "ingest-stream")
-    doubled = _stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    q = (ingest_stream(doubled, "probe_id", "ts", "40 days").drop("copy").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-         .option("path", f"{folder}/out").trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = t.spark.read.schema("link_id string, probe_id bigint, ts timestamp, status string").parquet(f"{folder}/out")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("link_id").alias("links"))
+    ingest_once(_stream(t, 3), "probe_id", f"{folder}/rows", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = read_table(t.spark, f"{folder}/rows", "link_id string, probe_id bigint, ts timestamp, status string, bucket int")
+    return out.select(F.col("probe_id").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "status")

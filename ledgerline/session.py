@@ -61,18 +61,6 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one task per core; a scan large enough to fill the cores is returned as it is.
-
-    Only the optimizer's size estimate is consulted, nothing runs.  Meant for plain scans ahead of CPU-heavy projections.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
-
-
 def release(spark: SparkSession) -> None:
     """Delete what this application staged."""
     jvm = spark.sparkContext._jvm

@@ -1,7 +1,7 @@
 """Statement text: lines of text files or positioned fragments."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,16 +22,21 @@ def split_lines(docs: DataFrame) -> DataFrame:
 def group_fragments(fragments: DataFrame) -> DataFrame:
     """Positioned fragments (doc_id, page_no, x, y, s) to lines.
 
-    Rows whose y lies within two units of the row above share a line; lines run top-down, fragments left to right.  The line
-    id comes from the distinct y values of a page, so the window is bounded by the page height.
+    From the top down, a y within two units of its line's first y belongs to that line, any other opens one; fragments go left to
+    right.  The fold runs over the distinct y of a page, which its height bounds.
     """
     page = ["doc_id", "page_no"]
     rounded = fragments.withColumn("y", F.round("y").cast("int")).withColumn("x", F.round("x").cast("int"))
-    down = Window.partitionBy(*page).orderBy(F.col("y").desc())
-    ys = rounded.select(*page, "y").distinct()
-    gap = F.coalesce((F.lag("y").over(down) - F.col("y") > 2).cast("int"), F.lit(0))
-    ys = ys.withColumn("gap", gap).withColumn("line_no", F.sum("gap").over(down).cast("int")).drop("gap")
-    lines = rounded.join(ys, [*page, "y"]).groupBy(*page, "line_no").agg(
-        F.array_sort(F.collect_list(F.struct("x", F.col("y").alias("top"), "s"))).alias("parts"))
+    ys = rounded.groupBy(*page).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
+    entry = "array<struct<y: int, top: int, line_no: int>>"
+
+    def place(lines, y):
+        last = F.try_element_at(lines, F.lit(-1))
+        same = last.isNotNull() & (last["top"] - y <= 2)
+        return F.concat(lines, F.array(F.struct(y.alias("y"), F.when(same, last["top"]).otherwise(y).alias("top"), F.when(same, last["line_no"]).otherwise(F.coalesce(last["line_no"] + 1, F.lit(0))).alias("line_no"))))
+
+    at = ys.select(*page, F.explode(F.aggregate("ys", F.array().cast(entry), place)).alias("at")).select(*page, "at.y", "at.line_no")
+    lines = rounded.join(at, [*page, "y"]).groupBy(*page, "line_no").agg(
+        F.array_sort(F.collect_list(F.struct("x", (-F.col("y")).alias("down"), "s"))).alias("parts"))
     items = F.transform("parts", lambda p: p["s"])
-    return lines.select(*page, "line_no", F.trim(F.regexp_replace(F.array_join(items, " "), r"[\s ]+", " ")).alias("text"), items.alias("items"))
+    return lines.select(*page, "line_no", F.trim(F.regexp_replace(F.array_join(items, " "), r"[\s\u00a0]+", " ")).alias("text"), items.alias("items"))

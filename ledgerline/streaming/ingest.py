@@ -1,25 +1,17 @@
-"""Streaming intake: idempotent files, completeness per micro-batch, alerts sent once."""
+"""Streaming intake: completeness per micro-batch, alerts sent once, late files rerun."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import DateType, StructField, StructType
 
 from ledgerline.operators.jobs import KEY, alerts, notify_once, refresh_jobs, upsert_latest
 from ledgerline.session import stage
 from ledgerline.settings import Settings
-
-
-def ingest_stream(stream: DataFrame, key: str, event_time: str, horizon: str = "7 days") -> DataFrame:
-    """Rows of a stream once per natural key within the horizon."""
-    return stream.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark([key])
-
-
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table that may not exist yet."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(schema).parquet(path) if found else spark.createDataFrame([], schema)
+from ledgerline.streaming.tables import read_table, replace_partitions
 
 
 def refresh_affected(batch: DataFrame, batches: DataFrame, files: DataFrame, requirements: DataFrame, previous: DataFrame, now: Column,
@@ -32,27 +24,42 @@ def refresh_affected(batch: DataFrame, batches: DataFrame, files: DataFrame, req
     return refresh_jobs(near, files.join(near.select(F.col("id").alias("batch_id")), "batch_id", "left_semi"), requirements, previous, now, cfg).join(touched, KEY, "left_semi")
 
 
-def completeness_stream(files_stream: DataFrame, batches: DataFrame, requirements: DataFrame, folder: str, checkpoint: str, now: Column,
-                        cfg: Settings = Settings()) -> DataStreamWriter:
-    """Keep ``folder``/files, /jobs and /alerts current.  Each micro-batch overwrites only the partitions it touches, and a
-    repeated micro-batch gives the same tables."""
+def completeness_stream(files_stream: DataFrame, batches: Callable[[], DataFrame], requirements: DataFrame, folder: str, checkpoint: str, now: Column,
+                        cfg: Settings = Settings(), rerun: Callable[[DataFrame], None] | None = None) -> DataStreamWriter:
+    """Keep ``folder``/files, /jobs and /alerts current, and rerun jobs that get late files.
+
+    ``batches`` is read again for each micro-batch.  A file whose mail is not known yet is parked in the partition without a date and
+    placed once the mail is there, so no file is lost.  Only the partitions of affected dates are read and overwritten, and a repeated
+    micro-batch gives the same tables.  ``rerun`` gets the (business_date, company) of completed jobs with new files, to reconcile them
+    and write a run that replaces the former.
+    """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        known = _read(spark, f"{folder}/files", batch.schema)
-        days = batches.select(F.col("id").alias("batch_id"), "business_date")
-        merged = stage(upsert_latest(known, batch, ["storage_path"], "ingested_at").select(*batch.columns), "files")
-        changed = batch.join(days, "batch_id").select("business_date").distinct()
-        part = merged.join(days, "batch_id").join(changed, "business_date", "left_semi")
-        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("business_date").parquet(f"{folder}/files")
-        empty = refresh_jobs(batches.limit(0), merged.limit(0), requirements, spark.createDataFrame(
-            [], "business_date date, company string, status string, file_count bigint, attempt_count int, late_file boolean"), now, cfg)
-        previous = stage(_read(spark, f"{folder}/jobs", empty.schema), "jobs")
-        jobs = stage(refresh_affected(batch, batches, merged, requirements, previous, now, cfg), "jobs")
-        rest = previous.join(jobs.select("business_date").distinct(), "business_date", "left_semi").join(jobs.select(*KEY), KEY, "left_anti")
-        rest.unionByName(jobs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("business_date").parquet(f"{folder}/jobs")
+        spark, mails = batch.sparkSession, stage(batches(), "mails")
+        dated = StructType([*batch.schema.fields, StructField("business_date", DateType())])
+        known = read_table(spark, f"{folder}/files", dated)
+        days = mails.select(F.col("id").alias("batch_id"), "business_date")
+        waiting = known.filter("business_date is null").drop("business_date")
+        fresh = stage(upsert_latest(waiting, batch, ["storage_path"], "ingested_at").select(*batch.columns).join(days, "batch_id", "left"), "fresh")
+        changed = fresh.select("business_date").distinct()
+        near = known.join(changed.filter("business_date is not null"), "business_date", "left_semi").select(*batch.columns)
+        files = stage(upsert_latest(near, fresh.filter("business_date is not null").select(*batch.columns), ["storage_path"], "ingested_at").select(*batch.columns), "files")
+        placed = files.join(days, "batch_id").unionByName(fresh.filter("business_date is null").select(*batch.columns, "business_date"))
+        found_all = not waiting.isEmpty() and fresh.filter("business_date is null").isEmpty()
+        replace_partitions(placed, f"{folder}/files", "business_date")
+        if found_all:  # nothing is parked any more
+            parked = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/files/business_date=__HIVE_DEFAULT_PARTITION__")
+            parked.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parked, True)
+        shape = refresh_jobs(mails.limit(0), files.limit(0), requirements, spark.createDataFrame(
+            [], "business_date date, company string, status string, file_count bigint, attempt_count int, late_file boolean"), now, cfg).schema
+        before = stage(read_table(spark, f"{folder}/jobs", shape).join(changed, "business_date", "left_semi"), "jobs")
+        jobs = stage(refresh_affected(fresh.select(*batch.columns), mails, files, requirements, before, now, cfg), "jobs")
+        rest = before.join(jobs.select("business_date").distinct(), "business_date", "left_semi").join(jobs.select(*KEY), KEY, "left_anti")
+        replace_partitions(rest.unionByName(jobs), f"{folder}/jobs", "business_date")
         raised = alerts(jobs, cfg)
-        fresh = notify_once(raised, _read(spark, f"{folder}/alerts", raised.schema).filter(F.lit(True)))
-        stage(fresh.withColumn("epoch", F.lit(epoch)), "alerts").drop("epoch").write.mode("append").parquet(f"{folder}/alerts")
+        stage(notify_once(raised, read_table(spark, f"{folder}/alerts", raised.schema)), "alerts").write.mode("append").parquet(f"{folder}/alerts")
+        late = jobs.filter("late_file").select(*KEY)
+        if rerun is not None and not late.isEmpty():
+            rerun(late)
 
     return files_stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

@@ -1,4 +1,4 @@
-"""Streaming probes: incidents from status changes and windowed counts."""
+"""Streaming probes: incidents from status changes and windowed counts; late and repeated probes end where they belong."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -6,49 +6,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerline.operators.incidents import incident_intervals
+from ledgerline.session import stage
+from ledgerline.streaming.tables import read_table, replace_partitions
 
-_STATE = "link_id string, probe_id bigint, ts timestamp, status string"
-_CLOSED = "link_id string, incident_id bigint, detected_at timestamp, resolved_at timestamp, status string, down_minutes bigint"
+_PROBE = "link_id string, probe_id bigint, ts timestamp, status string, bucket int"
+_INCIDENT = "link_id string, incident_id bigint, detected_at timestamp, resolved_at timestamp, status string, down_minutes bigint, bucket int"
 
 
-def _version(spark: SparkSession, folder: str, epoch: int, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{folder}/epoch={epoch}") if epoch >= 0 else spark.createDataFrame([], schema)
+def incident_step(batch: DataFrame, folder: str, buckets: int = 64) -> None:
+    """One micro-batch: store its new probes, then derive the incidents of the links in the touched buckets anew.
 
-
-def incident_step(batch: DataFrame, epoch: int, folder: str) -> None:
-    """One micro-batch: carry each link's state in, write closed incidents and the new state under this epoch.
-
-    State per link is one row: the probe that opened its incident, or its last UP.  Versions are keyed by epoch, so a
-    repeated or recovered micro-batch rewrites the same folders.
+    A probe that comes late may open, close or move incidents before those already known; deriving them from the stored probes puts
+    it in its place.  Buckets of links bound what is read, and a repeated micro-batch finds its probes stored and gives the same tables.
     """
     spark = batch.sparkSession
-    before = _version(spark, f"{folder}/state", epoch - 1, _STATE)
-    rows = before.unionByName(batch.select("link_id", "probe_id", "ts", "status"))
-    found = incident_intervals(rows)
-    found.filter("status = 'CLOSED'").write.mode("overwrite").parquet(f"{folder}/closed/epoch={epoch}")
-    opened = found.filter("status = 'OPEN'").select("link_id", F.col("incident_id").alias("probe_id"), F.col("detected_at").alias("ts"), F.lit("DOWN").alias("status"))
-    last = (rows.filter(F.col("status").isin("UP", "DOWN")).groupBy("link_id")
-            .agg(F.max_by(F.struct("probe_id", "ts", "status"), F.struct("ts", "probe_id")).alias("r")).select("link_id", "r.*").filter("status = 'UP'"))
-    opened.unionByName(last).write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
+    own = F.pmod(F.xxhash64("link_id"), F.lit(buckets)).cast("int")
+    fresh = stage(batch.select("link_id", "probe_id", "ts", "status").dropDuplicates(["link_id", "probe_id"]).withColumn("bucket", own), "probes")
+    touched = fresh.select("bucket").distinct()
+    stored = read_table(spark, f"{folder}/probes", _PROBE).join(touched, "bucket", "left_semi").select("link_id", "probe_id", "ts", "status", "bucket")
+    new = stage(fresh.join(stored.select("link_id", "probe_id"), ["link_id", "probe_id"], "left_anti"), "probes")
+    found = stage(incident_intervals(stored.unionByName(new.select(*stored.columns)).drop("bucket")).withColumn("bucket", own), "incidents")
+    new.write.mode("append").partitionBy("bucket").parquet(f"{folder}/probes")
+    replace_partitions(found, f"{folder}/incidents", "bucket")
 
 
 def probe_incidents_stream(probes: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Incidents of a probe stream (link_id, probe_id, ts, status), in order of arrival across micro-batches."""
-    return (probes.writeStream.foreachBatch(lambda batch, epoch: incident_step(batch, epoch, folder))
-            .option("checkpointLocation", checkpoint))
+    """Incidents of a probe stream (link_id, probe_id, ts, status), in any order of arrival."""
+    return probes.writeStream.foreachBatch(lambda batch, epoch: incident_step(batch, folder)).option("checkpointLocation", checkpoint)
+
+
+def incidents_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, f"{folder}/incidents", _INCIDENT).drop("bucket")
+
+
+def window_counts(probes: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Probes per time window and status."""
+    return probes.groupBy(F.window("ts", width), "status").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n")
+
+
+def probe_window_counts(probes: DataFrame, folder: str, checkpoint: str, width: str = "1 hour") -> DataStreamWriter:
+    """Partial counts of each micro-batch, kept by its epoch: late probes add to their window, and a repeated batch rewrites its own."""
 
+    def step(batch: DataFrame, epoch: int) -> None:
+        window_counts(batch, width).write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
 
-def incidents_so_far(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
-    """Closed incidents of every epoch and the ones still open after ``epoch``."""
-    closed = spark.read.schema(_CLOSED + ", epoch int").parquet(f"{folder}/closed").filter(F.col("epoch") <= epoch).drop("epoch")
-    still = _version(spark, f"{folder}/state", epoch, _STATE).filter("status = 'DOWN'")
-    none = F.lit(None)
-    return closed.unionByName(still.select(
-        "link_id", F.col("probe_id").alias("incident_id"), F.col("ts").alias("detected_at"), none.cast("timestamp").alias("resolved_at"),
-        F.lit("OPEN").alias("status"), none.cast("bigint").alias("down_minutes")))
+    return probes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def probe_window_counts(probes: DataFrame, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
-    """Probes, failures and checkpoints per time window; works on a stream (append mode) and on a table."""
-    return (probes.withWatermark("ts", lateness).groupBy(F.window("ts", width), "status")
-            .agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "status", "n"))
+def window_counts_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """All windows, open ones too."""
+    parts = read_table(spark, folder, "start timestamp, status string, n bigint, epoch int")
+    return parts.groupBy("start", "status").agg(F.sum("n").alias("n"))

@@ -43,7 +43,7 @@ def test_completeness_stream(spark, tmp_path):
     def push(n, items):
         spark.createDataFrame([("b1", f"f{n}{i}", name, kind, False, None, None, f"p{n}{i}", T(2026, 8, 1, n)) for i, (name, kind) in enumerate(items)], FILE).coalesce(1).write.mode("append").parquet(str(src))
         stream = spark.readStream.schema(FILE).parquet(str(src))
-        completeness_stream(stream, batches, req, out, str(tmp_path / "ck"), now).trigger(availableNow=True).start().awaitTermination()
+        completeness_stream(stream, lambda: batches, req, out, str(tmp_path / "ck"), now).trigger(availableNow=True).start().awaitTermination()
         return spark.read.parquet(f"{out}/jobs").collect()
 
     first = push(1, [("stm.pdf", "unknown")])
@@ -58,17 +58,44 @@ def test_completeness_stream(spark, tmp_path):
     assert spark.read.parquet(f"{out}/alerts").count() == 1
 
 
+def test_parked_files_and_late_reruns(spark, tmp_path):
+    """A file that comes before its mail is parked and placed later; a late file reruns its job."""
+    day = dt.date(2026, 8, 1)
+    mails = [("b1", day, "C", None)]
+    req = spark.createDataFrame([("*", [["stm_pdf"], ["bo_main"]], "10:00:00", 1, True)], REQ)
+    src, out, late = tmp_path / "in", str(tmp_path / "out"), []
+    now = F.lit("2026-09-01 00:00:00").cast("timestamp")
+
+    def push(n, batch, name):
+        spark.createDataFrame([(batch, f"f{n}", name, "unknown", False, None, None, f"p{n}", T(2026, 8, 1, n))], FILE).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(FILE).parquet(str(src))
+        completeness_stream(stream, lambda: spark.createDataFrame(mails, BATCH), req, out, str(tmp_path / "ck"), now,
+                            rerun=lambda j: late.extend(map(tuple, j.collect()))).trigger(availableNow=True).start().awaitTermination()
+        return {(r.id, r.business_date) for r in spark.read.schema(FILE + ", business_date date").parquet(f"{out}/files").collect()}
+
+    assert push(1, "b2", "stm.pdf") == {("f1", None)}
+    assert push(2, "b1", "stm.pdf") == {("f1", None), ("f2", day)}
+    mails.append(("b2", day, "C", None))
+    assert push(3, "b1", "BO x.xlsx") == {("f1", day), ("f2", day), ("f3", day)}
+    jobs_now = spark.read.parquet(f"{out}/jobs")
+    assert [(r.status, r.file_count) for r in jobs_now.collect()] == [("ready", 3)] and not late
+    done = [r.asDict() | {"status": "completed"} for r in jobs_now.collect()]
+    spark.createDataFrame(done, jobs_now.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("business_date").parquet(f"{out}/jobs")
+    push(4, "b1", "stm 2.pdf")
+    assert late == [(day, "C")]
+
+
 def test_incidents_stream_equals_batch(spark, tmp_path):
     import random
     rnd = random.Random(3)
     data = [(rnd.choice("ab"), i, T(2026, 1, 1 + i // 40, i % 24, i % 40), rnd.choice(["UP", "DOWN", "DOWN"])) for i in range(160)]
     data.sort(key=lambda r: (r[2], r[1]))
     p = "link_id string, probe_id bigint, ts timestamp, status string"
-    for epoch in range(4):
-        incident_step(spark.createDataFrame(data[epoch * 40:(epoch + 1) * 40], p), epoch, str(tmp_path))
-    incident_step(spark.createDataFrame(data[120:], p), 3, str(tmp_path))  # a repeated micro-batch changes nothing
     want = {tuple(r) for r in incidents.incident_intervals(spark.createDataFrame(data, p)).collect()}
-    assert {tuple(r) for r in incidents_so_far(spark, str(tmp_path), 3).collect()} == want
+    for part in (data[40:80], data[120:], data[:40], data[80:120], data[80:120]):  # late parts, and a repeated micro-batch
+        incident_step(spark.createDataFrame(part, p), str(tmp_path), buckets=2)
+    got = [tuple(r) for r in incidents_so_far(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
 
 
 def test_outage_needs_two_checkpoints(spark):
@@ -80,14 +107,24 @@ def test_outage_needs_two_checkpoints(spark):
     assert incidents.confirmed_outage(p.filter("checkpoint <> 'y'")).collect()[0].confirmed is False
 
 
-def test_write_run_replaces_only_its_partition(spark, tmp_path):
+def test_a_rerun_without_exceptions_leaves_none(spark, tmp_path):
     folder = str(tmp_path)
-    a, b = (reconcile(rows(spark, [dict(sec=100, job=j)], "stm"), rows(spark, [dict(sec=5000, job=j)], "bo"), cfg=CFG) for j in ("A", "B"))
-    for run in (a, b, a):
-        sinks.write_run(run, folder)
-    e = spark.read.parquet(f"{folder}/exceptions")
-    assert sorted((r.job_company, r.ex_type) for r in e.collect()) == sorted((j, t) for j in "AB" for t in ("missing_bo", "missing_stm"))
-    assert spark.read.parquet(f"{folder}/runs").count() == 2
+    bad = reconcile(rows(spark, [dict(sec=100, job="A"), dict(sec=100, job="B")], "stm"), rows(spark, [dict(sec=5000, job="A"), dict(sec=5000, job="B")], "bo"), cfg=CFG)
+    good = reconcile(rows(spark, [dict(sec=100, job="A")], "stm"), rows(spark, [dict(sec=100, job="A")], "bo"), cfg=CFG)
+    sinks.write_run(bad, folder, created_at=T(2026, 1, 1, 1))
+    sinks.write_run(good, folder, created_at=T(2026, 1, 1, 2))
+    runs = spark.read.parquet(f"{folder}/runs")
+    assert runs.count() == 3 and runs.select("id").distinct().count() == 3
+    known = runs.select("business_date", "company").distinct().withColumn("id", F.concat_ws("/", F.col("business_date").cast("string"), "company"))
+    latest = jobs.latest_run_per_job(known.withColumns({"status": F.lit("running"), "claimed_at": F.lit(None).cast("timestamp")}), runs)
+    done = known.join(latest.select(F.col("job_id").alias("id"), F.col("run_id").alias("last_run_id")), "id").withColumn("status", F.lit("completed"))
+    live = jobs.current_exceptions(done, spark.read.parquet(f"{folder}/exceptions")).collect()
+    assert sorted((r.run_id.split("/")[1], r.ex_type) for r in live) == [("B", "missing_bo"), ("B", "missing_stm")]
+
+
+def test_rows_without_job_are_paired_and_reported_once(spark):
+    run = reconcile(rows(spark, [dict(sec=100)], "stm").withColumn("job_date", F.lit(None).cast("date")), rows(spark, [dict(sec=110)], "bo").withColumn("job_date", F.lit(None).cast("date")), cfg=CFG)
+    assert [(r.matched, r.exception_count) for r in run.summary().collect()] == [(1, 0)]
 
 
 def test_csv_report(spark, tmp_path):
