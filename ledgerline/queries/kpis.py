@@ -203,7 +203,7 @@ def close_checklist(t: Tables) -> DataFrame:
     return filters.close_checklist(c).select("id", "ready")
 
 
-@check("live_exceptions", f"""with {_E} select id, case when id%9=0 then 'medium' else sev end as severity, cast(floor((epoch(timestamp '1998-12-31 12:00:00') - epoch(cast(d as timestamp)))/3600) as bigint) as age, '-' as bank from e""")
+@check("live_exceptions", f"""with {_E} select id, case when id%9=0 then 'medium' else sev end as severity, greatest(0, cast(floor((epoch(timestamp '1998-12-31 12:00:00') - epoch(cast(d as timestamp)))/3600) as bigint)) as age, '-' as bank from e""")
 def live_exceptions(t: Tables) -> DataFrame:
     k = F.col("id")
     c = cases(t)

@@ -36,7 +36,7 @@ def csv_rows(t: Tables) -> DataFrame:
 def _order_run(t: Tables, threshold: float):
     """A rules-only run: orders as back-office rows of monthly jobs, exceptions for large withdrawals."""
     cfg = Settings(large_threshold=threshold)
-    bo = _bo_orders(t).withColumns({"job_date": F.trunc("date", "month"), "job_company": F.concat(F.lit("C"), F.col("account").cast("bigint") % 3), "file_id": F.concat(F.lit("f"), F.col("account").cast("bigint") % 3)})
+    bo = _bo_orders(t).withColumn("date", F.trunc("date", "month")).withColumns({"job_date": F.col("date"), "job_company": F.concat(F.lit("C"), F.col("account").cast("bigint") % 3), "file_id": F.concat(F.lit("f"), F.col("account").cast("bigint") % 3)})
     found = rules.large_amount(bo, cfg)
     return reconcile(conform(bo).limit(0), conform(bo.withColumn("amount_cents", CENTS("amount"))), rule_exceptions=found, cfg=cfg)
 
@@ -93,7 +93,7 @@ def rule_input_counts(t: Tables) -> DataFrame:
 select seq, case when cast(account as int)%5=0 then 'wrong_account' when sb<>bb then 'wrong_bank' else 'wrong_account' end as type from x where cast(account as int)%5=0 or sb<>bb or st<>bt""")
 def wrong_counterparty(t: Tables) -> DataFrame:
     """Accounts divisible by five are missing from the master list; slips name a bank and the last digits of an account."""
-    user = lambda n: F.element_at(F.array(*[F.lit(b) for b in ("SCB", "KTB", "BBL")]), (F.regexp_extract("username", r"(\\d+)", 1).cast("int") % n) + 1)
+    user = lambda n: F.element_at(F.array(*[F.lit(b) for b in ("SCB", "KTB", "BBL")]), (F.regexp_extract("username", r"(\d+)", 1).cast("int") % n) + 1)
     tail = F.lpad((F.col("seq") % 997).cast("string"), 4, "0")
     stm = stm_side(t).withColumn("descr", F.concat(F.lit("ไป "), user(3), F.lit(" X"), tail))
     bo = bo_side(t).withColumn("cust_bank", user(2)).withColumn("cust_account", F.concat(F.lit("99-"), tail))
