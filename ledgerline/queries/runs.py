@@ -128,3 +128,25 @@ def report_files(t: Tables) -> DataFrame:
         row = back.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast("bigint")).alias("total"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@check("file_deltas", """with n as (select cast(ts as date) as d, count(*) as n from events group by 1)
+select strftime(d,'%Y-%m-%d') as day, n as total, greatest(0, n - coalesce(lag(n) over (order by d), n)) as delta from n""")
+def file_deltas(t: Tables) -> DataFrame:
+    totals = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("file_total")).withColumn("at", F.col("day").cast("timestamp"))
+    return jobs.file_deltas(totals).select(F.col("day").cast("string").alias("day"), F.col("file_total").alias("total"), F.col("file_delta").alias("delta"))
+
+
+@check("archive_entries", f"""with e as (select page_id, url || case page_id%5 when 0 then '.pdf' when 1 then '.XLSX' when 2 then '.exe' when 3 then '/__MACOSX/a.csv' else '/._b.pdf' end as path, split_part(url, '/', 3) as host from pages)
+select page_id as page, regexp_matches(path, '{fixed.INGEST_EXT}') and not regexp_matches(path, '{fixed.OS_JUNK}') as kept, upper(host) = upper(substr(path, 8, length(host))) as same from e""")
+def archive_entries(t: Tables) -> DataFrame:
+    tails = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".XLSX", ".exe", "/__MACOSX/a.csv", "/._b.pdf")]), (F.col("page_id") % 5).cast("int") + 1)
+    host = F.split("url", "/")[2]
+    e = t.pages.select("page_id", F.concat("url", tails).alias("path"), host.alias("host")).withColumn("other", F.substring("path", F.lit(8), F.length("host")))
+    return e.select(F.col("page_id").alias("page"), X.ingestible_entry("path").alias("kept"), X.same_company("host", "other").alias("same"))
+
+
+@check("job_status_counts", """select count(*) as total, count(*) filter (where o_orderstatus='F') as completed, count(*) filter (where o_orderstatus='O') as queued, count(*) filter (where o_orderstatus='P') as error from orders""")
+def job_status_counts(t: Tables) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "queued").otherwise("error")
+    return jobs.status_counts(t.orders.select(status.alias("status"))).select("total", "completed", "queued", "error")

@@ -37,8 +37,8 @@ class Settings:
     exempt_gateway_from_master: bool = True
     # Local timestamp ("2026-08-01 05:00:00") the case age is measured at; None = end of the business day.
     as_of: str | None = None
-    # Rows one matching task may hold; larger groups are cut into time slices.
-    max_group_rows: int = 2_000_000
+    # Rows after which a matching unit ends at the next time slice.
+    unit_rows: int = 200_000
 
     @property
     def widest_tolerance(self) -> int:

@@ -130,10 +130,10 @@ def world(seed, n, untimed):
     return [make() for _ in range(n)], [make() for _ in range(n)]
 
 
-@pytest.mark.parametrize("seed,untimed,by_time,cap", [(1, True, False, 10**6), (2, False, True, 10**6), (3, False, False, 20), (4, True, True, 15)])
+@pytest.mark.parametrize("seed,untimed,by_time,cap", [(1, True, False, 10**6), (2, False, True, 10**6), (3, False, False, 20), (4, True, True, 15), (5, False, False, 1)])
 def test_against_sequential_model(spark, seed, untimed, by_time, cap):
     stm, bo = world(seed, 220, untimed)
-    cfg = Settings(max_group_rows=cap)
+    cfg = Settings(unit_rows=cap)
     got = with_job(pair_rows(rows(spark, stm, "stm").repartition(7), rows(spark, bo, "bo").repartition(3), cfg, by_time)).collect()
     assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, cfg, by_time)
 
@@ -151,10 +151,10 @@ def test_conservation(spark):
 
 @pytest.mark.parametrize("by_time", [False, True])
 def test_untimed_hot_group_is_zipped(spark, by_time):
-    """A statement without times in a group above the cap: exact without a whole-day slice."""
+    """A statement without times: exact without a unit of the whole day."""
     rnd = random.Random(11)
     side = lambda timed: dict(sec=rnd.randrange(0, 80000) if timed else 0, amount=rnd.choice([10, 20]), account="A", job="J", no_time=not timed,
                               dir=rnd.choice(["deposit", "withdraw"]), coarse=True)
     stm, bo = [side(False) for _ in range(70)], [side(True) for _ in range(60)]
-    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(max_group_rows=10), by_time)).collect()
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=10), by_time)).collect()
     assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), by_time)
