@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reports, statements
 from ledgerline.operators.detect import map_headers
+from ledgerline.plans.files import reconcile_files
 from ledgerline.sources.lines import group_fragments, read_text_lines, split_lines
 from ledgerline.sources.rows import link_groups, read_csv_rows, read_links
 
@@ -143,3 +144,15 @@ def test_links(spark):
     groups = link_groups(links, spark.createDataFrame([], "company_id string, name string"))
     assert [(r.name, r.created) for r in groups.collect()] == [("Room", True)]
     assert links.filter(F.col("category") == "ทั่วไป").count() == 2
+
+
+def test_files_to_run(spark):
+    """A report and a statement of the same account: one pair, one row the bank does not have, one large withdrawal."""
+    report = raw(spark, {"r": [["วันที่", "เวลา", "txid", "username", "ฝาก", "ถอน", "เลขที่บัญชี"], ["2025-01-12", "15:16:10", "t1", "u1", "33", "", "9000000006"],
+                               ["2025-01-12", "20:00:00", "t2", "u2", "", "150000", "9000000006"]]})
+    files = file_list(spark, {"r": "BO report.csv"}, dt.date(2025, 1, 12)).withColumn("kind", F.lit("bo_main"))
+    docs = spark.createDataFrame([("SCB", "C SCB.pdf", 1, dt.date(2025, 1, 12), "C")], "file_id string, file_name string, file_seq int, job_date date, job_company string")
+    lines = split_lines(spark.createDataFrame([("SCB", DOCS["SCB"])], "doc_id string, body string"))
+    run = reconcile_files(report, files, lines, docs)
+    assert [(r.stm_count, r.bo_count, r.matched) for r in run.summary().collect()] == [(1, 2, 1)]
+    assert sorted(r.type for r in run.exceptions.collect()) == ["large_amount", "missing_stm"]
