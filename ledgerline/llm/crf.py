@@ -57,33 +57,34 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.nda
     return (odds / (1 + odds))[layout.slot]
 
 
-def train(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, size: int, rounds: int = 60, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(features: np.ndarray, words: np.ndarray, tags: np.ndarray, lengths: np.ndarray, size: int, rounds: int = 60, rate: float = 0.3, ridge: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights (``size``) and transitions by full-batch Adam on the conditional likelihood.
 
-    ``features`` has a row of indices below ``size`` for each token; the sequences lie one after the other.
+    ``features`` has a row of indices below ``size`` for each distinct word, ``words`` the word of each token; the sequences lie one
+    after the other.
     """
     layout, n = Layout(lengths), max(len(tags), 1)
     starts = np.cumsum(lengths) - lengths
     inner = np.ones(len(tags), bool)
     inner[starts] = False
     later = np.flatnonzero(inner)
-    y = tags.astype(float)
-    seen = np.array([((1 - y[later - 1]) * y[later]).sum(), (y[later - 1] * (1 - y[later])).sum(), (y[later - 1] * y[later]).sum(), y[starts].sum()])
+    before, now = tags[later - 1].astype(bool), tags[later].astype(bool)
+    seen = np.array([(~before & now).sum(), (before & ~now).sum(), (before & now).sum(), tags[starts].sum()], float)
     w, move = np.zeros(size), np.array([-3.0, 0.0, -2.0, -3.0])
     first = [np.zeros(size), np.zeros(4)]
     second = [np.zeros(size), np.zeros(4)]
     for k in range(1, rounds + 1):
-        emit = w[features].sum(axis=1)
-        r, s, e = (x[layout.slot] for x in messages(emit, layout, np.exp(move)))
-        odds = r * s
-        p = odds / (1 + odds)
+        r, s, e = messages(w[features].sum(axis=1)[words], layout, np.exp(move))
         up, down, stay, _ = np.exp(move)
-        left, right = np.minimum(r[later - 1], 1e100), e[later] * s[later]
-        pairs = np.stack([up * right, left * down, left * stay * right])
-        pairs /= 1 + pairs.sum(axis=0)
-        lean = p - y
-        grads = [np.bincount(features.ravel(), np.repeat(lean, features.shape[1]), size) / n + ridge * w,
-                 (np.r_[pairs.sum(axis=1), p[starts].sum()] - seen) / n + ridge * move]
+        left, right = r[layout.slot[later - 1]], (e * s)[layout.slot[later]]
+        whole = 1 + up * right + left * (down + stay * right)
+        joint = np.array([(up * right / whole).sum(), (left * down / whole).sum(), (left * right / whole).sum() * stay])
+        del left, right, whole
+        odds = (r * s)[layout.slot]
+        p = odds / (1 + odds)
+        by_word = np.bincount(words, p - tags, len(features))
+        grads = [(np.bincount(features.ravel(), np.repeat(by_word, features.shape[1]), size) + ridge * w) / n,
+                 (np.r_[joint, p[starts].sum()] - seen + ridge * move) / n]
         for x, g, m, v in zip((w, move), grads, first, second):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)

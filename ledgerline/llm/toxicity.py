@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +20,16 @@ from pyspark.sql import functions as F
 from ledgerline.llm import crf
 from ledgerline.llm.common import arrow_rows, fold, lower_in_place, text_slices
 
-#: The sample that is fitted on: documents of each class at most, in the order of a hash of their id, and characters of each class.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8_000_000
+#: The sample that is fitted on: toxic documents at most (and twice as many others), in the order of a hash of their id, and characters
+#: of each class.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000_000
 #: Hashed features, lengths of the word beginnings among them, words kept in a Python worker.
 FEATURES, STARTS, CACHE_WORDS, CACHE_CHARS = 1 << 17, (4, 5, 6), 1_000_000, 40
-#: A feature is toxic if so many sampled documents, and such a share of the toxic ones, have it, and it is so much likelier there.
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.004, 25.0
+#: Slots for counting documents by feature while fitting.
+COUNT_SLOTS = 1 << 22
+#: A feature is toxic if so many sampled documents, and such a share of the toxic ones, have it, after as many different tokens, and it is
+#: so much likelier there.
+LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 3, 0.006, 25.0
 #: From this marginal on a token belongs to a reported span.
 SPAN_AT = 0.5
 
@@ -97,38 +100,50 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
+def _contexts(tokens: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """By slot, after how many different tokens its features come.  Words of a text that has many copies come after the same ones."""
+    flat = np.concatenate([np.r_[np.int32(-1), t] for t in tokens]) if tokens else np.zeros(0, np.int32)
+    at = np.flatnonzero(flat >= 0)
+    out = np.zeros(COUNT_SLOTS, np.int32)
+    for k in range(hashes.shape[1]):
+        slot = hashes[flat[at], k] % COUNT_SLOTS
+        pairs = np.unique(slot * (len(hashes) + 1) + flat[at - 1] + 1)
+        slots, counts = np.unique(pairs // (len(hashes) + 1), return_counts=True)
+        out[slots] = np.maximum(out[slots], counts)
+    return out
+
+
 def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
-    """Fit on the given texts and labels."""
-    tokens = [_TOKEN.findall(lower_in_place(t)) for t in texts]
-    df = [Counter(), Counter()]
+    """Fit on the given texts and labels.  Tokens are held as numbers of words, so memory is a few arrays of their count."""
+    known: dict[str, int] = {}
+    tokens = [np.fromiter((-1 if w[0] in ".!?\n" else known.setdefault(w, len(known)) for w in (*_TOKEN.findall(lower_in_place(t)), ".")), np.int32) for t in texts]
+    names = [[zlib.crc32(f.encode("utf-8", "replace")) for f in feature_names(w)] for w in known]
+    hashes = np.array(names, np.int64).reshape(len(known), 1 + len(STARTS))
+    seen = [np.zeros(COUNT_SLOTS, np.int32), np.zeros(COUNT_SLOTS, np.int32)]
     size = [max(toxic.count(k), 1) for k in (0, 1)]
     for words, y in zip(tokens, toxic):
-        df[y].update({f for w in set(words) if w[0] not in ".!?\n" for f in feature_names(w)})
+        own = np.unique(words)
+        seen[y][np.unique(hashes[own[own >= 0]] % COUNT_SLOTS)] += 1
     least = max(LEAST_DOCS, LEAST_SHARE * size[1])
-    marked = {f for f, n in df[1].items() if n >= least and n / size[1] >= LEAST_RATIO * (df[0][f] + 0.5) / size[0]}
-    slots: dict[str, list[int]] = {}
-    features, tags, lengths = [], [], []
-    for words, y in zip(tokens, toxic):
-        run = 0
-        for w in [*words, "."]:
-            if w[0] in ".!?\n":
-                if run:
-                    lengths.append(run)
-                run = 0
-                continue
-            run += 1
-            if w not in slots:
-                names = feature_names(w)
-                slots[w] = [[_slot(f) for f in names], int(any(f in marked for f in names))]
-            features.append(slots[w][0])
-            tags.append(slots[w][1] & y)
-    if not marked or not features:
-        return ToxicityModel(np.zeros(FEATURES), np.array([-8.0, 0.0, -8.0, -8.0]), np.array([np.log(size[1] / size[0]) if 1 in toxic and 0 in toxic else (8.0 if 1 in toxic else -8.0), 0.0, 0.0]))
-    w, move = crf.train(np.array(features), np.array(tags), np.array(lengths), FEATURES)
-    model = ToxicityModel(w, move, np.zeros(3))
-    emissions = _Emissions(w)
-    x = np.array([[1.0, *_summary(p)] for a in range(0, len(tokens), 200) for p in token_marginals(model, emissions, tokens[a : a + 200])])
-    return ToxicityModel(w, move, _logistic(x, np.array(toxic, float)))
+    marked = (seen[1] >= least) & (_contexts([t for t, y in zip(tokens, toxic) if y], hashes) >= least) & (seen[1] / size[1] >= LEAST_RATIO * (seen[0] + 0.5) / size[0])
+    word_marked = marked[hashes % COUNT_SLOTS].any(axis=1)
+    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+    label = np.repeat(np.array(toxic, np.int8), [len(t) for t in tokens])
+    is_word, lengths = _sentences(flat < 0)
+    words = flat[is_word]
+    tags = (word_marked[words] & (label[is_word] == 1)).astype(np.int8)
+    del flat, label, seen
+    if not tags.any():
+        bias = np.log(size[1] / size[0]) if 1 in toxic and 0 in toxic else (8.0 if 1 in toxic else -8.0)
+        return ToxicityModel(np.zeros(FEATURES), np.array([-8.0, 0.0, -8.0, -8.0]), np.array([bias, 0.0, 0.0]))
+    w, move = crf.train((hashes % FEATURES).astype(np.int32), words, tags, lengths, FEATURES)
+    weight = np.r_[w[hashes % FEATURES].sum(axis=1), np.nan]  # the last is what ends a sentence
+    found = []
+    for t in tokens:
+        emit = weight[t]
+        inside, lens = _sentences(np.isnan(emit))
+        found.append([1.0, *_summary(crf.marginals(emit[inside], lens, move))])
+    return ToxicityModel(w, move, _logistic(np.array(found), np.array(toxic, float)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> ToxicityModel:
@@ -139,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0)
     """
     own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold("doc_id", modulus) != held_out)
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    picked = own.filter("toxic = 1").orderBy(*order).limit(SAMPLE_DOCS).unionByName(own.filter("toxic = 0").orderBy(*order).limit(SAMPLE_DOCS))
+    picked = own.filter("toxic > 0").orderBy(*order).limit(SAMPLE_DOCS).unionByName(own.filter("toxic <= 0").orderBy(*order).limit(2 * SAMPLE_DOCS))
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")  # as large as the sample's bound
-    along = Window.partitionBy("toxic").orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(F.col("toxic") > 0).orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
     slim = rows.dropDuplicates(["doc_id", "text"]).withColumn("upto", F.sum(F.length("text")).over(along))
     got = slim.filter(F.col("upto") <= SAMPLE_CHARS).select("text", "toxic").collect()
     return fit_texts([r.text for r in got], [int(r.toxic > 0) for r in got])
