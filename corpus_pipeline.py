@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import minhash, packing, pii, quality, toxicity
-from ledgerline.llm.common import stage, table
+from ledgerline.llm.common import prepare, stage, table
 
 #: Key of the pseudonyms; a real run passes a secret of its own in this setting of the session.
 PII_KEY_SETTING, PII_KEY = "spark.ledgerline.pii.key", "check"
@@ -18,28 +18,33 @@ PII_KEY_SETTING, PII_KEY = "spark.ledgerline.pii.key", "check"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxic-span field rejects go."""
+    prepare(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.filter(toxicity.score_text(model, F.col("text")) < 0.5)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    prepare(spark)
     model = quality.fit(quality.with_statistics(docs), table(spark, sf_dir, "labels"))
     return docs.filter(quality.score_text(model, F.col("text")) >= 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    prepare(spark)
     return minhash.one_of_each_group(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get format-preserving pseudonyms."""
+    prepare(spark)
     return pii.with_pseudonyms(docs, spark.conf.get(PII_KEY_SETTING, PII_KEY))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences under the sources' mixture."""
+    prepare(spark)
     return packing.pack_documents(docs)
 
 

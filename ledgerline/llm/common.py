@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import configure, stage
 
-__all__ = ["stage", "table", "fold", "text_slices", "arrow_rows", "block_pairs", "map_groups", "tree_sum", "lower_in_place", "crc", "tokenizer_path"]
+__all__ = ["prepare", "stage", "table", "fold", "text_slices", "arrow_rows", "block_pairs", "map_groups", "tree_sum", "lower_in_place", "crc", "tokenizer_path"]
 
 #: Characters handled at once inside a task; bounds the memory of the vectorised kernels.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
+
+
+#: Rows of an Arrow batch between Spark and Python: texts are long, and both sides hold whole batches.
+ARROW_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the session up for long texts; safe to call again."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return configure(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given parquet tables."""
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def tokenizer_path(name: str) -> str:

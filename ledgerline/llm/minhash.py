@@ -30,7 +30,7 @@ REACH = 0.8 - 2.5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
 #: Texts of a block of a bucket; a task holds two blocks at a time.
 BLOCK = 2048
 #: Words kept in a Python worker.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 

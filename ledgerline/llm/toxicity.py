@@ -24,7 +24,7 @@ from ledgerline.llm.common import arrow_rows, fold, lower_in_place, text_slices
 #: of each class.
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000_000
 #: Hashed features, lengths of the word beginnings among them, words kept in a Python worker.
-FEATURES, STARTS, CACHE_WORDS, CACHE_CHARS = 1 << 17, (4, 5, 6), 1_000_000, 40
+FEATURES, STARTS, CACHE_WORDS, CACHE_CHARS = 1 << 17, (4, 5, 6), 250_000, 40
 #: Slots for counting documents by feature while fitting.
 COUNT_SLOTS = 1 << 22
 #: A feature is toxic if so many sampled documents, and such a share of the toxic ones, have it, after as many different tokens, and it is
