@@ -1,6 +1,7 @@
 """Session set-up and the shared staging area for intermediate tables."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,9 +25,18 @@ def configure(spark: SparkSession) -> SparkSession:
     ):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    _importable(spark)
     return spark
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers on machines that have this folder import the package, whatever the driver's working directory."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; only a local session may fall back to a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
