@@ -82,6 +82,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 got = [None] * len(own) if not len(owner) else signatures(owner, np.concatenate([e for e, _ in parts]), np.concatenate([c for _, c in parts]), len(own))
                 sig |= {digests[i]: s.tobytes() if len(e) else None for i, s, (e, _) in zip(own, got, parts)}
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sig[d] for d in digests], pa.binary())], ["doc_id", "digest", "sig"])
+        _hashes.clear()  # the worker goes on to other work
 
     return docs.select("doc_id", _digest(), "text").mapInArrow(run, f"doc_id {kind}, digest binary, sig binary")
 
@@ -174,6 +175,7 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in arrow_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([multiset(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["digest", "bag"])
+        _hashes.clear()
 
     picked = wanted.select(F.col("digest").alias("__d"), F.col("doc").alias("__i"))
     rows = docs.select("doc_id", _digest(), "text")

@@ -28,7 +28,7 @@ END_ID = 0
 #: Blocks of a queue, rounds of a block, and the fixed-point bits of a quantum.
 QUEUE_BLOCKS, ROUND_BLOCK, FRACTION = 4096, 256, 10
 #: Words kept in a Python worker between batches, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 250_000, 40
+CACHE_WORDS, CACHE_CHARS = 400_000, 40
 
 #: A space between two white-space characters, or between one and the end; else no token spans the place before a space.
 _JOINED = re.compile(r"\s (?:\s|\Z)")
