@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm import crf
 from ledgerline.llm.common import arrow_rows, fold, lower_in_place, text_slices
 
-#: The sample that is fitted on: toxic documents at most (and twice as many others), in the order of a hash of their id, and characters
-#: of each class.
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8_000_000
+#: The sample that is fitted on: toxic texts at most (and twice as many others), in the order of a hash of their id, and characters
+#: of each class.  Texts over so many characters come after all others of their class, the shortest first.
+SAMPLE_DOCS, SAMPLE_CHARS, LONG_CHARS = 1000, 8_000_000, 200_000
 #: Hashed features, lengths of the word beginnings among them, words kept in a Python worker.
 FEATURES, STARTS, CACHE_WORDS, CACHE_CHARS = 1 << 17, (4, 5, 6), 250_000, 40
 #: Slots for counting documents by feature while fitting.
@@ -134,7 +134,8 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
     tags = (word_marked[words] & (label[is_word] == 1)).astype(np.int8)
     del flat, label, seen
     if not tags.any():
-        bias = np.log(size[1] / size[0]) if 1 in toxic and 0 in toxic else (8.0 if 1 in toxic else -8.0)
+        # nothing tells the classes apart, so no text is called toxic, however the labels are shared
+        bias = min(np.log(size[1] / size[0]), -0.01) if 1 in toxic else -8.0
         return ToxicityModel(np.zeros(FEATURES), np.array([-8.0, 0.0, -8.0, -8.0]), np.array([bias, 0.0, 0.0]))
     w, move = crf.train((hashes % FEATURES).astype(np.int32), words, tags, lengths, FEATURES)
     weight = np.r_[w[hashes % FEATURES].sum(axis=1), np.nan]  # the last is what ends a sentence
@@ -149,16 +150,19 @@ def fit_texts(texts: list[str], toxic: list[int]) -> ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> ToxicityModel:
     """Fit on a sample of the labelled rows whose fold is not ``held_out``; a document labelled twice is toxic if either label says so.
 
-    The sample takes ids of each class in the order of their hash, :data:`SAMPLE_DOCS` at most, while their texts together stay
-    within :data:`SAMPLE_CHARS`; texts are never cut.
+    The sample takes labelled texts of each class in the order of their id's hash, :data:`SAMPLE_DOCS` at most, while they together
+    stay within :data:`SAMPLE_CHARS`.  Texts over :data:`LONG_CHARS` wait until the others are taken, so none keeps shorter ones out;
+    labels without text take no place, a class that has a text gives one at least, and texts are never cut.
     """
     own = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold("doc_id", modulus) != held_out)
-    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    picked = own.filter("toxic > 0").orderBy(*order).limit(SAMPLE_DOCS).unionByName(own.filter("toxic <= 0").orderBy(*order).limit(2 * SAMPLE_DOCS))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")  # as large as the sample's bound
-    along = Window.partitionBy(F.col("toxic") > 0).orderBy(*order, F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    slim = rows.dropDuplicates(["doc_id", "text"]).withColumn("upto", F.sum(F.length("text")).over(along))
-    got = slim.filter(F.col("upto") <= SAMPLE_CHARS).select("text", "toxic").collect()
+    texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").withColumns({"size": F.length("text"), "same": F.xxhash64("text")})
+    sized = texts.select("doc_id", "size", "same").join(own, "doc_id").distinct()
+    order = [F.greatest("size", F.lit(LONG_CHARS)), F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("same")]
+    picked = sized.filter("toxic > 0").orderBy(*order).limit(SAMPLE_DOCS).unionByName(sized.filter("toxic <= 0").orderBy(*order).limit(2 * SAMPLE_DOCS))
+    along = Window.partitionBy(F.col("toxic") > 0).orderBy(*order)  # as many rows as the sample's bound
+    kept = picked.withColumns({"upto": F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0)), "at": F.row_number().over(along)})
+    kept = kept.filter((F.col("upto") <= SAMPLE_CHARS) | (F.col("at") == 1)).select("doc_id", "size", "same", "toxic")
+    got = texts.join(F.broadcast(kept), ["doc_id", "size", "same"]).select("doc_id", "text", "toxic").dropDuplicates(["doc_id", "text"]).select("text", "toxic").collect()
     return fit_texts([r.text for r in got], [int(r.toxic > 0) for r in got])
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerline.llm import crf, quality, toxicity
 from ledgerline.llm.queries import QUERIES
@@ -86,3 +87,26 @@ def test_marginals_equal_sums_over_all_taggings():
             one += np.exp(s) * np.array(y)
         assert np.allclose(got[at : at + n], one / total)
         at += n
+
+
+def test_toxicity_sample_goes_round_long_texts_and_labels_without_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 120_000)
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 300)
+    monkeypatch.setattr(toxicity, "LONG_CHARS", 5_000, raising=False)
+    docs, labels = corpus()
+    toxic = {i: y for i, _, y in labels if i is not None and y is not None}
+    # the first ids of each class, in the order of their hash, have texts over the whole bound; many labels have no text
+    ids = spark.createDataFrame([(i,) for i in toxic], "id bigint").filter("pmod(crc32(cast(string(id) as binary)), 5) <> 0").orderBy(F.xxhash64(F.col("id").cast("string"))).collect()
+    long = {r.id: "plain words go on. " * 7_000 for y in (0, 1) for r in [r for r in ids if toxic[r.id] == y and r.id < 700][:2]}
+    docs = [(i, long.get(i, t)) for i, t, _ in docs if not (i == 0 and t in long)]
+    labels = [*((i, y) for i, y in toxic.items()), *((i, i % 2) for i in range(10**6, 10**6 + 4_000))]
+    rows = toxicity.classify(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    right = np.mean([r.predicted == toxic[r.doc_id] for r in rows if r.doc_id in toxic and r.doc_id not in long])
+    assert right > 0.97, right
+
+
+def test_toxicity_without_a_clean_class_rejects_nothing(spark):
+    docs = spark.createDataFrame([(i, f"word{i} nastyone here") for i in range(40)], "doc_id bigint, text string")
+    for clean in (0, 1):
+        labels = spark.createDataFrame([(i, int(i >= clean)) for i in range(40)], "doc_id bigint, toxic int")
+        assert {r.predicted for r in toxicity.classify(docs, labels).collect()} == {0}
