@@ -17,11 +17,20 @@ ROUNDS = 8
 _EMAIL = r"[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _IP = r"(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
-_DATE = r"(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?!\d)"
+_DATE = r"(?:\d{4}(?<a>[-/.])\d{1,2}\k<a>\d{1,2}|\d{1,2}(?<b>[-/.])\d{1,2}\k<b>\d{4})(?!\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\d)"
 _CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
 PATTERN = rf"(?<![\w%+-])(?:{_EMAIL}|{_IBAN}|{_IP}|{_DATE}|{_SSN}|{_PHONE}|{_CARD})"
+#: Lengths of account numbers by country; other countries may have any.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30,
+    "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23,
+    "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20}
+#: Values of a text that are put in order at once.
+BLOCK = 500
 
 
 def _whole(pattern: str) -> str:
@@ -114,6 +123,46 @@ def kind_of(x: Column) -> Column:
             .when(x.rlike(_whole(_CARD)) & (_luhn(d) % 10 == 0), F.lit("card")))
 
 
+def value_in(x: Column) -> Column:
+    """``kind`` and ``text`` of the valid value that a candidate begins with; without one the kind is NULL, and ``text`` what to pass over.
+
+    The pattern takes as much as it can, so a number or a word in capitals behind a card or IBAN may be part of the candidate.  What
+    ends at a group's end is tried, the longest first, an IBAN of its country's length before all others.  An IBAN of that length with
+    wrong check digits is passed over, so its digits are not taken for a card.
+    """
+    size = F.length(x)
+    value = lambda kind, text: F.struct(kind.alias("kind"), text.alias("text"))
+    ends = F.filter(F.sequence(size, F.least(size, F.lit(12)), F.lit(-1)), lambda n: (n == size) | F.substring(x, n + 1, F.lit(1)).isin(" ", "-"))
+    starts = F.transform(ends, lambda n: F.substring(x, F.lit(1), n))
+    wanted = F.element_at(F.create_map(*[F.lit(v) for kv in IBAN_LENGTHS.items() for v in kv]), F.substring(x, 1, 2))
+    right = lambda t: F.coalesce(F.length(F.regexp_replace(t, " ", "")) == wanted, F.lit(False))
+    first = lambda tried, kind: F.try_element_at(F.filter(F.transform(tried, lambda t: value(kind_of(t), t)), lambda v: v["kind"] == kind), F.lit(1))
+    iban = first(F.concat(F.filter(starts, right), F.filter(starts, lambda t: ~right(t))), "iban")
+    whole = F.transform(F.array(x), lambda t: value(kind_of(t), t))[0]
+    found = F.when(x.rlike(_whole(_IBAN)), iban).when(x.rlike(_whole(_CARD)), F.transform(F.array(whole), lambda w: F.when(w["kind"].isNotNull(), w).otherwise(first(starts, "card")))[0]).otherwise(whole)
+    over = value(F.lit(None).cast("string"), F.when(x.rlike(_whole(_IBAN)), F.try_element_at(F.filter(starts, right), F.lit(1))))
+    return F.transform(F.array(found), lambda v: F.when(v["kind"].isNotNull(), v).otherwise(over))[0]
+
+
+def _passed(sizes: Column, lengths: Column) -> Column:
+    """How much of each piece a value of an earlier piece takes; ``sizes`` are those of the values that the pieces begin with, or 0."""
+    each = F.zip_with(sizes, lengths, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
+
+    def one(state, p):
+        s, n = p["s"], p["n"]
+        reach = F.when(state["left"] > 0, state["left"]).otherwise(s)
+        return F.struct(F.greatest(reach - n, F.lit(0)).alias("left"), F.array_append(state["out"], state["left"]).alias("out"))
+
+    def block(state, i):
+        begin = F.struct(state["left"].alias("left"), F.array().cast("array<int>").alias("out"))
+        done = F.aggregate(F.slice(each, i, F.lit(BLOCK)), begin, one)
+        return F.transform(F.array(done), lambda d: F.struct(d["left"].alias("left"), F.array_append(state["out"], d["out"]).alias("out")))[0]
+
+    begin = F.struct(F.lit(0).alias("left"), F.array().cast("array<array<int>>").alias("out"))
+    blocks = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(BLOCK)), begin, block, lambda s: F.flatten(s["out"]))
+    return F.when(F.exists(each, lambda p: p["s"] > p["n"]), blocks).otherwise(F.transform(sizes, lambda s: F.lit(0)))
+
+
 def _email(key: str, x: Column) -> Column:
     """Letters and digits of the local part are shifted within their class; the domain stays."""
     local = F.substring_index(x, "@", 1)
@@ -222,14 +271,24 @@ def pseudonym(key: str, kind: Column, x: Column) -> Column:
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", found: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``found`` names an added array of (kind, text) of what was replaced.
 
-    All other columns stay.  A NULL text stays NULL, an empty one empty; candidates that are not valid stay as they are; repeated
-    rows get the same result.  Every row is handled by itself, so there is no shuffle.
+    All other columns stay.  A NULL text stays NULL, an empty one empty; candidates without a valid value stay as they are, and are
+    searched from their next word on; repeated rows get the same result.  Every row is handled by itself, so there is no shuffle.
     """
-    columns, tmp = docs.columns, ("__pii_rest", "__pii_hits")
-    parts = docs.withColumns({tmp[0]: F.split(F.col(text), PATTERN, -1), tmp[1]: F.coalesce(F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0), F.array().cast("array<string>"))})
-    parts = parts.withColumn(tmp[1], F.transform(tmp[1], lambda x: F.struct(kind_of(x).alias("kind"), x.alias("text"))))
-    new = F.transform(tmp[1], lambda h: pseudonym(key, h["kind"], h["text"]))
-    joined = F.array_join(F.flatten(F.zip_with(tmp[0], new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = parts.withColumn(text, F.when(F.size(tmp[1]) > 0, joined).otherwise(F.col(text)))
-    extra = [] if found is None else [F.filter(tmp[1], lambda h: h["kind"].isNotNull()).alias(found)]
+    columns, rest, hits, passed = docs.columns, "__pii_rest", "__pii_hits", "__pii_passed"
+    # a text is cut before each place where a candidate begins, so candidates may overlap; the first that is valid goes
+    parts = docs.withColumns({rest: F.split(F.col(text), rf"(?={PATTERN})", -1), hits: F.coalesce(F.regexp_extract_all(F.col(text), F.lit(rf"(?=({PATTERN}))"), 1), F.array().cast("array<string>"))})
+    parts = parts.withColumn(hits, F.transform(hits, value_in))
+    body = F.slice(rest, F.size(rest) - F.size(hits) + 1, F.size(hits))
+    size = F.transform(hits, lambda h: F.coalesce(F.length(h["text"]), F.lit(0)))
+    parts = parts.withColumn(passed, _passed(size, F.transform(body, lambda p: F.length(p))))
+    parts = parts.withColumn(hits, F.zip_with(hits, passed, lambda h, n: F.when(n == 0, h)))
+
+    def piece(p, i):
+        h = F.col(hits)[i]
+        taken = F.when(F.col(passed)[i] > 0, F.col(passed)[i]).otherwise(F.coalesce(F.length(h["text"]), F.lit(0)))
+        return F.concat(F.coalesce(pseudonym(key, h["kind"], h["text"]), F.lit("")), F.substring(p, taken + 1, F.length(p)))
+
+    head = F.when(F.size(rest) > F.size(hits), F.col(rest)[0]).otherwise("")
+    out = parts.withColumn(text, F.when(F.size(hits) > 0, F.concat(head, F.array_join(F.transform(body, piece), ""))).otherwise(F.col(text)))
+    extra = [] if found is None else [F.filter(hits, lambda h: h["kind"].isNotNull()).alias(found)]
     return out.select(*[F.col(f"`{c}`") for c in columns], *extra)

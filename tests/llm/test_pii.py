@@ -78,3 +78,19 @@ def test_query_and_clashing_columns(spark, tmp_path):
     assert len(got) == 4 and sum(r.n_ip for r in got) == 2 and sum(r.n_email for r in got) == 1 and [r.text for r in got if r.doc_id == 3] == [None]
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert pii.with_pseudonyms(docs, "k").columns == docs.columns and pii.with_pseudonyms(docs.limit(0), "k").count() == 0
+
+
+def test_values_before_numbers_and_capitals_are_found(spark):
+    c, at, be, de = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    card_, iban = (lambda x: ("card", x)), (lambda x: ("iban", x))
+    cases = [(f"{c} 12/27", [card_(c)]), ("4111111111111111 123", [card_("4111111111111111")]), (f"pay {c}-123.", [card_(c)]), (f"{at} BIC BKAUATWW", [iban(at)]), (f"{be} EUR 5", [iban(be)]),
+             (f"{at} {be}", [iban(at), iban(be)]), (f"{at} INVOICE {c} 123 {de} X", [iban(at), card_(c), iban(de)]), (f"no 12 {c}", [card_(c)]), (f"{be} {c}", [iban(be), card_(c)]),
+             ("4111111111111111 123-45-6789", [card_("4111111111111111"), ("ssn", "123-45-6789")]), ("AT61 1904 3002 3457 3202 BIC", []), (f"é {c} 77 " * 1300, [card_(c)] * 1300)]
+    new, found = run(spark, [t for t, _ in cases])
+    for (t, want), n, f in zip(cases, new, found):
+        assert f == want, (t[:80], f[:3])
+        assert len(n) == len(t) and all(v not in n for _, v in want)
+        same = t
+        for _, v in want:
+            same = same.replace(v, "#" * len(v), 1)
+        assert all(a == "#" or a == b for a, b in zip(same, n))
