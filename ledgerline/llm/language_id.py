@@ -18,8 +18,8 @@ from ledgerline.llm.common import arrow_rows, stage, text_slices
 BUCKETS, SMOOTH, TEXT_WORTH = 1 << 14, 0.5, 60.0
 #: Pseudo-counts of the prior above: for a domain, a host, and for what is declared or a suffix.
 DOMAIN_MASS, HOST_MASS, CHANNEL_MASS = 20.0, 5.0, 2.0
-#: Share of the labelled documents that a language needs; bounds the model at 1 / LEAST_SHARE languages.
-LEAST_SHARE = 0.002
+#: Share of the labelled documents that a language needs: none, every named language is known.
+LEAST_SHARE = 0.0
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -32,11 +32,12 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (language by bucket) from all documents that name a language."""
+    """Languages and log probabilities (language by bucket) from all documents that name a language.
+
+    The model takes BUCKETS numbers for each language, here and in each Python worker.
+    """
     named = docs.filter("text is not null and lang is not null and lang <> ''").select("lang", "text")
-    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    languages = sorted(r.lang for r in counts.filter(F.col("n") >= LEAST_SHARE * total).collect())
+    languages = sorted(r.lang for r in named.select("lang").distinct().collect())
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -50,10 +51,11 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    grams = named.filter(F.col("lang").isin(languages)).mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    grams = named.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = np.full((max(len(languages), 1), BUCKETS), SMOOTH)
-    for r in grams.collect():  # languages x buckets, both bounded
-        table[languages.index(r.lang), r.bucket] += r.n
+    at = {lang: i for i, lang in enumerate(languages)}
+    for batch in grams.toArrow().to_batches():  # languages x buckets at most, as numbers and not as rows
+        table[[at[x] for x in batch.column(0).to_pylist()], batch.column(1).to_numpy()] += batch.column(2).to_numpy()
     return languages, np.log(table / table.sum(axis=1, keepdims=True))[: len(languages)]
 
 

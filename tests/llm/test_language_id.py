@@ -89,3 +89,11 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in li.identify(pages, docs).collect()] == [(1, None, 0.0, None)]
     some = spark.createDataFrame([(1, "hello there", "en")], "doc_id bigint, text string, lang string")
     assert li.identify(pages.limit(0), some).count() == 0 and li.identify(pages, some).first().lang == "en"
+
+
+def test_a_rare_language_is_known(spark):
+    rnd = random.Random(5)
+    docs = [(i, text(rnd, "cc" if i < 2 else "ab"[i % 2] * 2, 40), "cc" if i < 2 else "ab"[i % 2] * 2) for i in range(2_000)]
+    pages = [(i, f"http://a{i % 3}.site.cc/x", f'<html lang="cc"><p>{text(rnd, "cc", 30)}</p>') for i in range(10)]
+    got = li.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()
+    assert len(got) == 10 and {(r.lang, r.text_lang) for r in got} == {("cc", "cc")}
