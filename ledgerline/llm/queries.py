@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import embedding_dedup, language_id, minhash, nearest, packing, pii, quality, secret_scan, tokenize, toxicity
+from ledgerline.llm import embedding_dedup, hard_negatives, language_id, minhash, nearest, packing, pii, quality, secret_scan, tokenize, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,25 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+@query("op13_hard_negatives", """
+with kept as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as vec
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, list_inner_product(a.vec, b.vec)::bigint as score
+  from kept a join kept b on a.vec_id <> b.vec_id and len(a.vec) = len(b.vec) where a.vec_id % 100 = 0),
+positive as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score,
+  score as negative_score
+from positive p join scored s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
