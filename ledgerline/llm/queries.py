@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import embedding_dedup, hard_negatives, language_id, minhash, nearest, packing, pii, quality, secret_scan, tokenize, toxicity
+from ledgerline.llm import embedding_dedup, hard_negatives, language_id, minhash, nearest, packing, pii, quality, resharding, secret_scan, tokenize, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_flow_resharding")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return resharding.shard_documents(resharding.located(spark, f"{folder}/documents.parquet"))
