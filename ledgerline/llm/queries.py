@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import embedding_dedup, hard_negatives, language_id, minhash, nearest, packing, pii, quality, resharding, secret_scan, tokenize, toxicity
+from ledgerline.llm import conversations, embedding_dedup, hard_negatives, language_id, minhash, nearest, packing, pii, quality, resharding, secret_scan, tokenize, toxicity
 from ledgerline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,12 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_flow_resharding")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return resharding.shard_documents(resharding.located(spark, f"{folder}/documents.parquet"))
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversations.summary(conversations.damaged(turns))
+    every = turns.select("conv_id").distinct().withColumn("__conv", conversations.key_of("conv_id"))
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.join(found, F.col("__conv") == F.col("conv"), "left").select("conv_id", *[F.coalesce(c, none.get(c, F.lit(0))).alias(c) for c in found.columns[1:]])
