@@ -111,7 +111,7 @@ def key_of(conv: Column | str) -> Column:
 def ordered_rows(turns: DataFrame) -> DataFrame:
     """``conv``, ``conv_id``, ``turn``, ``role``, ``text``, ``seg`` and ``at`` (place in the segment) of each row, staged.
 
-    Rows go by turn (NULL first), role and text; NULL roles and texts are one space.  ``seg`` grows along a conversation.
+    Rows go by turn (NULL first), role and a hash of the text; NULL roles and texts are one space.  ``seg`` grows along a conversation.
     """
     spark = turns.sparkSession
     rows = turns.select(key_of("conv_id").alias("conv"), "conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit(" ")).alias("role"),
@@ -228,7 +228,7 @@ def apply_edits(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 def repair(turns: DataFrame) -> DataFrame:
     """``conv_id``, ``place`` (from 0), ``turn``, ``role``, ``text``, ``edit`` and ``fault`` of the rows of repaired conversations.
 
-    ``turns`` has ``conv_id``, ``turn``, ``role`` and ``text``.  Rows go by turn (NULL first), then role and text; NULL roles and texts count as
+    ``turns`` has ``conv_id``, ``turn``, ``role`` and ``text``.  Rows go by turn (NULL first), then role and a hash of the text; NULL roles and texts count as
     one space, a NULL id is a conversation of its own, and repeated rows are duplicates of the first.  A role of no characters fits
     nowhere, like one with another initial.  Texts are never cut.  Inserted rows have no turn and an empty text.  Other columns are
     ignored; an empty table gives no row, and a conversation that is deleted as a whole none either.
