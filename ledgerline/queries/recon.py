@@ -8,7 +8,8 @@ from ledgerline.operators import classify
 from ledgerline.operators.matching import candidates, pair_rows, with_job
 from ledgerline.plans.reconcile import Run, reconcile
 from ledgerline.queries.base import Tables, check
-from ledgerline.queries.sides import bo_side, greedy_sql, sides_sql, stm_side
+from ledgerline.queries.sides import bo_side, greedy_sql, one_account, sides_sql, stm_side
+from ledgerline.settings import Settings
 
 DAY = "cast(d as varchar)"
 
@@ -49,6 +50,13 @@ def recon_match_passes(t: Tables) -> DataFrame:
                                          F.col("dt_sec").cast("bigint").alias("dt"), "pass")
 
 
+@check("recon_match_untimed", f"with recursive {greedy_sql(True, one=True)} {_PAIRS_SQL}")
+def recon_match_untimed(t: Tables) -> DataFrame:
+    """One account a day with timed and untimed bank rows, in units of some forty rows."""
+    pairs = pair_rows(one_account(stm_side(t, True), True), one_account(bo_side(t, True), False), Settings(unit_rows=40))
+    return _day(with_job(pairs)).select("day", F.col("stm_seq").alias("s_seq"), F.col("bo_seq").alias("b_seq"), F.col("dt_sec").cast("bigint").alias("dt"), "pass")
+
+
 _LEFT = """
 acc as (select distinct d, account from s),
 mb as (select b.* from b join p1 on p1.b_seq = b.seq),

@@ -149,6 +149,26 @@ def test_conservation(spark):
     assert left + pairs == 300
 
 
+def mixed(seed, bank_untimed, office_untimed, n=150):
+    """One account: rows without time stand at midnight, as statements give them."""
+    rnd = random.Random(seed)
+    both = rnd.random() < 0.5
+
+    def make(untimed):
+        late = rnd.random() < untimed
+        return dict(sec=0 if late else rnd.choice([0, 60, 300, 30000]) + rnd.randrange(0, 1500), amount=rnd.choice([10, 20]), account="A", job="J", no_time=late,
+                    dir=rnd.choice(["deposit", "withdraw", None] if both else ["deposit", "withdraw"]), coarse=rnd.random() < .2)
+
+    return [make(bank_untimed) for _ in range(n)], [make(office_untimed) for _ in range(n + 20)]
+
+
+@pytest.mark.parametrize("seed,bank,office", [(1, 0.3, 0), (2, 0.02, 0), (3, 0.9, 0), (4, 0, 0.1), (5, 0.3, 0.1)])
+def test_untimed_rows_walk_along_units(spark, seed, bank, office):
+    stm, bo = mixed(seed, bank, office)
+    got = with_job(pair_rows(rows(spark, stm, "stm").repartition(5), rows(spark, bo, "bo"), Settings(unit_rows=12), seed % 2 == 0)).collect()
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), seed % 2 == 0)
+
+
 @pytest.mark.parametrize("by_time", [False, True])
 def test_untimed_hot_group_is_zipped(spark, by_time):
     """A statement without times: exact without a unit of the whole day."""
