@@ -3,12 +3,14 @@
 1. Each text gets a BagMinHash signature; equal texts share one class and go on as one.
 2. Bands of the signature give buckets.  In each bucket the member that meets most others leads; every text is compared with the
    leader it shares most buckets with.  That joins the bulk of each group of copies by as many comparisons as there are texts.
-3. What is left are texts of different components in one bucket.  Buckets are cut into blocks of bounded size, and each pair of
-   blocks compares signatures inside one task, which emits only pairs of different components whose estimate is within reach of
-   the threshold, each in the first band the two share.  No pair of an already joined group is made.
-4. All pairs of 2 and 3 are verified on the exact multisets; components of the links are the groups.
-
-A pair at the threshold is missed in all bands with a probability below 1e-7, or by its estimate with one of about 1 %.
+3. What is left are components that share a bucket.  Buckets are cut into blocks of bounded size; each pair of blocks compares
+   signatures inside one task and names only enough pairs of components to connect all those whose estimates are within reach of the
+   threshold.  Components so connected form a cluster.
+4. The multisets of a cluster are compared exactly, again in pairs of blocks of bounded bytes, by products of incidence matrices; each
+   task gives only enough verified links to connect what it found connected.  Neither step makes a row for each pair.
+
+A pair at the threshold is missed in all bands with a probability below 1e-7, and by its estimate with one of 0.02 %, unless other
+texts bring the two into one cluster.
 """
 from __future__ import annotations
 
@@ -25,10 +27,11 @@ from ledgerline.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: Bands of the signature, components of a band.
 BANDS, ROWS = 32, 4
-#: Share of equal components from which a pair is verified: 2.5 standard deviations under the threshold.
-REACH = 0.8 - 2.5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
-#: Texts of a block of a bucket; a task holds two blocks at a time.
-BLOCK = 2048
+#: Share of equal components from which a pair is verified: 3.5 standard deviations under the threshold.
+REACH = 0.8 - 3.5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
+#: Texts of a block of a bucket or cluster, bytes of the multisets of a block of a cluster, and shingles of an incidence matrix; a
+#: task holds two blocks at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 2048, 8_000_000, 2048
 #: Words kept in a Python worker.
 CACHE_WORDS = 250_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -108,37 +111,101 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
 
 
-def _near_pairs(digests: np.ndarray, roots: np.ndarray, sigs: np.ndarray, side: np.ndarray, band: int):
-    """Index pairs between the sides (or within one) of different roots, near enough, whose first common band is ``band``."""
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(side)), np.arange(len(side)))
-    step = max(1, 4_000_000 // max(1, len(right) * COMPONENTS))
-    for at in range(0, len(left), step):
-        rows = left[at : at + step]
-        same = sigs[rows][:, None, :] == sigs[right][None, :, :]
-        near = same.sum(axis=2, dtype=np.uint8) >= np.ceil(COMPONENTS * (REACH + (1 - REACH) / 256))
-        near &= roots[rows][:, None] != roots[right][None, :]
-        if not side.any():
-            near &= rows[:, None] < right[None, :]
-        i, j = np.nonzero(near)
-        if band and len(i):
-            earlier = same[i, j].reshape(len(i), -1)[:, : band * ROWS].reshape(len(i), band, ROWS).all(axis=2).any(axis=1)
-            i, j = i[~earlier], j[~earlier]
-        yield from zip(digests[rows[i]], digests[right[j]])
+class _Joined:
+    """Numbers 0 to n - 1 in groups."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """True if the two were apart."""
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _numbered(values: tuple) -> tuple[np.ndarray, list]:
+    code = {v: k for k, v in enumerate(dict.fromkeys(values))}
+    return np.array([code[v] for v in values], np.int64), list(code)
+
 
+def _across(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to compare with each other: one block with another, or a block with itself."""
+    every = np.arange(len(side))
+    return (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (every, every)
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Near pairs of different components inside the buckets.  ``members``: ``band``, ``key``, ``digest``, ``root``, ``sig``, ``blocks``."""
+
+def _root_links(members: DataFrame) -> DataFrame:
+    """Enough pairs of components to connect those with near signatures.  ``members``: ``band``, ``key``, ``digest``, ``root``, ``sig``, ``blocks``."""
 
     def compare(key, rows):
-        side, digests, roots, sigs = zip(*rows)
+        side, roots, sigs = zip(*rows)
         side = np.array(side)
         if len(rows) < 2 or key[2] != key[3] and not 0 < side.sum() < len(side):
             return
-        _, roots = np.unique(np.array([x.hex() for x in roots]), return_inverse=True)
-        yield from _near_pairs(np.array(digests, dtype=object), roots, np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), COMPONENTS), side, key[0])
+        root, names = _numbered(roots)
+        sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), COMPONENTS)
+        left, right = _across(side)
+        joined, step = _Joined(len(names)), max(1, 4_000_000 // max(1, len(right) * COMPONENTS))
+        for at in range(0, len(left), step):
+            own = left[at : at + step]
+            near = (sig[own][:, None, :] == sig[right][None, :, :]).sum(axis=2, dtype=np.uint8) >= np.ceil(COMPONENTS * (REACH + (1 - REACH) / 256))
+            i, j = np.nonzero(near & (root[own][:, None] != root[right][None, :]))
+            for pair in np.unique(root[own[i]] * len(names) + root[right[j]]).tolist():
+                a, b = divmod(pair, len(names))
+                if joined.join(a, b):
+                    yield names[a], names[b]
+
+    placed = block_pairs(members, ["band", "key"], "digest", ["root", "sig"])
+    return map_groups(placed, ["band", "key", "x", "y"], ["side", "root", "sig"], compare, "a binary, b binary")
+
+
+def _overlaps(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common elements of each bag of ``left`` with each of ``right``."""
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    _, element, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # an element of one bag only can't be common
+    keep = count[element] > 1
+    owner, element = owner[keep], column[element[keep]]
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(element[-1]) + 1 if len(element) else 0, COLUMNS):
+        a, b = np.searchsorted(element, [at, at + COLUMNS])
+        held = np.zeros((len(bags), COLUMNS), np.float32)
+        held[owner[a:b], element[a:b] - at] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def _verified_links(members: DataFrame) -> DataFrame:
+    """Enough verified links between components to connect all that have one.  ``members``: ``cluster``, ``digest``, ``root``, ``bag``, ``blocks``."""
+
+    def compare(key, rows):
+        side, digests, roots, bags = zip(*rows)
+        side = np.array(side)
+        if len(rows) < 2 or key[1] != key[2] and not 0 < side.sum() < len(side):
+            return
+        root, names = _numbered(roots)
+        if len(names) < 2:
+            return
+        bags = [np.frombuffer(b, "<u8") for b in bags]
+        size = np.array([len(b) for b in bags], np.float64)
+        left, right = _across(side)
+        both = _overlaps(bags, left, right)
+        near = (both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both)) & (root[left][:, None] != root[right][None, :])
+        joined = _Joined(len(names))
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+            if joined.join(int(root[left[i]]), int(root[right[j]])):
+                yield digests[left[i]], digests[right[j]]
 
-    placed = block_pairs(members, ["band", "key"], "digest", ["digest", "root", "sig"])
-    return map_groups(placed, ["band", "key", "x", "y"], ["side", "digest", "root", "sig"], compare, "a binary, b binary")
+    placed = block_pairs(members, ["cluster"], "digest", ["digest", "root", "bag"])
+    return map_groups(placed, ["cluster", "x", "y"], ["side", "digest", "root", "bag"], compare, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +232,11 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = (rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
              .filter("low <> high").select("band", "key", F.ceil(F.col("size") / BLOCK).alias("blocks")))
     left = rooted.join(mixed, ["band", "key"]).join(classes.select("digest", "sig"), "digest")
-    more = stage(_verified(stage(_cross_pairs(left), "minhash-pairs"), bags), "minhash-links")
+    near = components(stage(_root_links(left), "minhash-near-roots")).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    clustered = meets.select("digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")).join(near, "root")
+    clustered = stage(clustered.join(bags, "digest"), "minhash-clusters")
+    size = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("bag")) / BLOCK_BYTES)).alias("blocks"))
+    more = stage(_verified_links(clustered.join(size, "cluster")), "minhash-links")
     return components(links.union(more)).select(F.col("node").alias("digest"), "root"), signed.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("digest")).alias("digest"))
 
 

@@ -89,3 +89,30 @@ def test_groups_equal_all_pairs(spark, tmp_path, monkeypatch):
     assert kept.count() == len(worded) + 3
     assert {r.doc_id for r in kept.collect()} == {name[c] for c in worded} | {1000, 1001, 1002}
     assert minhash.deduplicate(docs.limit(0)).count() == 0 and minhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_hot_bucket_of_texts_that_are_not_near(spark, tmp_path, monkeypatch):
+    """Texts that share most shingles but stay a little under the threshold: all pairs equal brute force, and no table grows with them."""
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(90):
+        t = list(base)
+        for at in rnd.sample(range(0, 300, 12), rnd.choice([5, 6, 7])):
+            t[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(t)))
+    made = {}
+    for name in ("_root_links", "_verified_links"):
+        whole = getattr(minhash, name)
+        monkeypatch.setattr(minhash, name, lambda members, whole=whole, name=name: made.setdefault(name, whole(members)))
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    folder = write_tables(spark, tmp_path, documents=(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.component_id for r in QUERIES["op4_bagminhash_dedup"](spark, folder).collect()}
+    want = brute(rows)
+    near = [similarity(bag(a), bag(b)) for (_, a), (_, b) in zip(rows, rows[1:])]
+    assert sum(0.65 < s < 0.8 for s in near) > 60
+    name = {}
+    for (i, _), c in zip(rows, want):
+        name[c] = min(name.get(c, i), i)
+    assert got == {i: name[c] for (i, _), c in zip(rows, want)}
+    assert all(made[k].distinct().count() <= 9 * len(rows) for k in made) and len(made) == 2
