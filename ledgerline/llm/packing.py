@@ -37,13 +37,14 @@ _JOINED = re.compile(r"\s (?:\s|\Z)")
 class ByteTokens(dict):
     """Ids of ``" " + word`` by word, as unsigned 16-bit integers.
 
-    Gives what the ``tokenizers`` library gives for the JSON file of the same vocabulary, special tokens read as plain text; the
-    rank file is used because its encoder is faster.  No token of the split pattern spans a space after another character, so
-    words are encoded once.
+    Gives what the ``tokenizers`` library gives for the JSON file of the same vocabulary: texts are cut at its added tokens first, and
+    what lies between is encoded with the rank file, whose encoder is faster.  No token of the split pattern spans a space after
+    another character, so words are encoded once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, json_path: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -51,7 +52,13 @@ class ByteTokens(dict):
         super().__init__()
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        if max(ranks.values()) > 65535:
+        with open(json_path, "rb") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take white space or stand alone only are not supported")
+        self.added = {t["content"]: array("H", [t["id"]]).tobytes() for t in added}
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
+        if max([*ranks.values(), *(t["id"] for t in added)]) > 65535:
             raise ValueError("ids must fit in 16 bits")
         self.encode_plain = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -67,6 +74,11 @@ class ByteTokens(dict):
     def encode(self, text: str) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
+        if self.cut is not None and self.cut.search(text):
+            return b"".join(self.added[part] if k % 2 else self._plain(part) for k, part in enumerate(self.cut.split(text)) if part)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _JOINED.search(text):
             return self.raw(text)
         first, *words = text.split(" ")
@@ -74,18 +86,21 @@ class ByteTokens(dict):
 
 
 @lru_cache(maxsize=2)
-def tokens(path: str) -> ByteTokens:
-    return ByteTokens(path)
+def tokens(path: str, json_path: str) -> ByteTokens:
+    return ByteTokens(path, json_path)
+
 
+def tokenize_documents(docs: DataFrame, path: str | None = None, json_path: str | None = None) -> DataFrame:
+    """``doc_id``, ``source`` (NULL: empty), ``ids`` (unsigned 16-bit, end id included) and ``n``.
 
-def tokenize_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id``, ``source`` (NULL: empty), ``ids`` (unsigned 16-bit, end id included) and ``n``."""
-    path = path or tokenizer_path("byte_bpe_50k.tiktoken")
+    ``path`` is the rank file and ``json_path`` the file that names the added tokens of the same vocabulary.
+    """
+    path, json_path = path or tokenizer_path("byte_bpe_50k.tiktoken"), json_path or tokenizer_path("byte_bpe_50k.json")
     end = array("H", [END_ID]).tobytes()
 
     def run(batches):
         for batch in arrow_rows(batches):
-            ids = [(tokens(path).encode(t) if t else b"") + end for t in batch.column(2).to_pylist()]
+            ids = [(tokens(path, json_path).encode(t) if t else b"") + end for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64())], ["doc_id", "source", "ids", "n"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -103,7 +118,7 @@ def schedule(lengths: DataFrame, mixture: dict[str, float] | None = None, window
     name gets its share of all tokens, which is also the default for all.  A queue that has run dry gives nothing more.
     """
     total = lengths.agg(F.sum("n")).first()[0] or 1
-    lengths = lengths.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(QUEUE_BLOCKS)))
+    lengths = lengths.withColumn("block", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "row"), F.lit(QUEUE_BLOCKS)))
     queue = Window.partitionBy("source")
     share = F.col("held") / F.lit(float(total))
     if mixture:
@@ -132,14 +147,14 @@ def schedule(lengths: DataFrame, mixture: dict[str, float] | None = None, window
     return runs.join(rounds, ["round", "source"]).select("row", "start", "length", "round", "source", (F.col("at") + F.col("within")).alias("position"))
 
 
-def pack_documents(docs: DataFrame, mixture: dict[str, float] | None = None, window: int = WINDOW, sequence: int = SEQUENCE, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, mixture: dict[str, float] | None = None, window: int = WINDOW, sequence: int = SEQUENCE, path: str | None = None, json_path: str | None = None) -> DataFrame:
     """One row per piece of a document: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``source``, ``round``.
 
     A NULL or empty text is the end id alone; a NULL source is the empty one; repeated rows and NULL ids are packed like any
     others; other columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
-    ids = tokenize_documents(docs, path).withColumn("row", F.monotonically_increasing_id())
+    ids = tokenize_documents(docs, path, json_path).withColumn("row", F.monotonically_increasing_id())
     place = staging_path(spark, "packing-ids")
     ids.write.option("compression", "zstd").parquet(place)
     ids = spark.read.schema(ids.schema).parquet(place)

@@ -11,14 +11,13 @@ from tests.llm.test_tokenize import EDGE, random_texts
 
 
 def library():
-    t = tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return tokenizers.Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
 
 
 def test_ids_equal_the_library():
-    texts = [t for t in EDGE + random_texts(4000) + ["a  b", "a   b", "a\n b", "a \nb", "a\n \nb", "x \t y ", "it's we'll", "<|endoftext|> a", "\n ", " \n"] if t]
-    own = packing.tokens(tokenizer_path("byte_bpe_50k.tiktoken"))
+    texts = [t for t in EDGE + random_texts(4000) + ["a  b", "a   b", "a\n b", "a \nb", "a\n \nb", "x \t y ", "it's we'll", "<|endoftext|> a", "\n ", " \n",
+                                                    "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>  b", "<|endoftext|>", "<|endoftext| >", "x\n <|endoftext|>\n", "<|endoftext|>  "] if t]
+    own = packing.tokens(tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json"))
     got = [np.frombuffer(own.encode(t), "<u2").tolist() for t in texts]
     assert got == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
 
@@ -64,7 +63,7 @@ def test_every_token_once_and_mixture_held(spark):
     rnd = random.Random(2)
     words = ["alpha", "beta,", "gamma", "é", "\n", "x1", "delta.", ""]
     docs = [(i, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 3, 40, 900]))), rnd.choice(["hot", "hot", "hot", "b", "c", None])) for i in range(150)]
-    docs += [(150, None, "b"), (None, "no id", "c"), (151, "same", "hot"), (151, "same", "hot"), (152, "z " * 6000, "b")]
+    docs += [(150, None, "b"), (None, "no id", "c"), (151, "same", "hot"), (151, "same", "hot"), (152, "z " * 6000, "b"), (153, "end <|endoftext|> of <|endoftext|>", "b")]
     df = spark.createDataFrame([(*d, 7) for d in docs], "doc_id bigint, text string, source string, length int")
     check(packing.pack_documents(df, window=512, sequence=128).collect(), docs, 512, 128)
     mix = {"hot": 0.2, "b": 0.6}
