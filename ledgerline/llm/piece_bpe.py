@@ -6,9 +6,14 @@ All words of a batch lie in flat numpy symbol arrays.  A round finds each word's
 merges there, drops finished words and compacts, until no pair remains.  All leftmost occurrences of a word's best pair merge at
 once where that equals popping them one by one: if no longer piece that begins or ends with the merged one has a score as good.
 Else only the leftmost merges in that round.
+
+Such rounds walk through a word once for each merge, which is quadratic in a word of very many characters.  The few words over
+:data:`LONG_WORD` characters are therefore merged pair by pair in the library's own order, from one heap, in time that grows with
+their length.
 """
 from __future__ import annotations
 
+import heapq
 import re
 from functools import lru_cache
 
@@ -19,6 +24,8 @@ _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _NONE = np.iinfo(np.int32).max
 #: Words kept between batches in a Python worker, and the longest word that is kept.
 CACHE_WORDS, CACHE_CHARS = 1_500_000, 40
+#: Characters from which a word is merged from a heap.
+LONG_WORD = 2048
 
 
 class PieceModel:
@@ -76,6 +83,7 @@ class PieceModel:
         self.text_len = np.array([len(t) for t in text], np.int64)
         self.text_at = np.concatenate([[0], np.cumsum(self.text_len)[:-1]])
         self.text_bytes = np.frombuffer(b"".join(text), np.uint8)
+        self.pair_at: dict[int, tuple[int, int]] | None = None
         self.cache: dict[str, bytes] = {}
 
     # -- encoding
@@ -86,6 +94,35 @@ class PieceModel:
         hit = self.pair_key[at] == key
         return np.where(hit, self.pair_rank[at], _NONE), np.where(hit, self.pair_piece[at], -1)
 
+    def _merged(self, sym: np.ndarray) -> np.ndarray:
+        """Symbols of one long word after all its merges."""
+        if self.pair_at is None:
+            self.pair_at = dict(zip(self.pair_key.tolist(), zip(self.pair_rank.tolist(), self.pair_piece.tolist())))
+        pair_at, width, n = self.pair_at, self.width, len(sym)
+        rank, _ = self._ranks(sym[:-1], sym[1:])
+        at = np.flatnonzero(rank != _NONE)
+        agenda = np.sort(rank[at].astype(np.int64) * n + at).tolist()  # sorted, so a heap
+        plain = np.minimum(sym, self.unknown).tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while agenda:
+            best, i = divmod(heapq.heappop(agenda), n)
+            j = after[i]
+            if plain[i] < 0 or j >= n:
+                continue
+            found = pair_at.get(plain[i] * width + plain[j])
+            if found is None or found[0] != best:
+                continue  # the pair has changed since
+            plain[i], plain[j] = found[1], -1
+            after[i] = k = after[j]
+            before[k] = i
+            if k < n and (new := pair_at.get(found[1] * width + plain[k])):
+                heapq.heappush(agenda, new[0] * n + i)
+            h = before[i]
+            if h >= 0 and (new := pair_at.get(plain[h] * width + found[1])):
+                heapq.heappush(agenda, new[0] * n + h)
+        left = np.array(plain, np.int64)
+        return np.where(left == self.unknown, sym, left)[left >= 0]
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers; a word starts with the space marker and holds it nowhere after another character."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -93,6 +130,12 @@ class PieceModel:
         sym = self.char_symbol[code]
         word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
         done_sym, done_word = [], []
+        for k in np.flatnonzero(lens > LONG_WORD):
+            done_sym.append(self._merged(sym[word == k]).astype(np.int32))
+            done_word.append(np.full(len(done_sym[-1]), k, np.int32))
+        if done_sym:
+            short = lens[word] <= LONG_WORD
+            sym, word = sym[short], word[short]
         rank = np.full(len(sym), _NONE, np.int32)
         piece = np.full(len(sym), -1, np.int32)
         if len(sym) > 1:

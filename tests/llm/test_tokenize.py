@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -55,3 +56,13 @@ def test_query_rows(spark, library):
     assert tokenize.digest_documents(docs.limit(0)).count() == 0
     back = tokenize.decode_documents(tokenize.encode_documents(docs)).collect()
     assert sorted((r.text for r in back)) == sorted(t or "" for _, t, _ in rows)
+
+
+def test_very_long_words_in_time_that_grows_with_them(library):
+    rnd = random.Random(6)
+    letters = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    long = ["the" * 70_000, letters(200_000, "abcdefghijklmnopqrstuvwxyz"), "x " + letters(5000, "theing") + " " + letters(2047, "the") + " y", letters(3000, "中ЖaKſ😀\n▁"), "=" * 9000, letters(2049, "aé")]
+    start = time.time()
+    got = [np.frombuffer(x, "<u4").tolist() for x in model(PATH).encode(long)]
+    assert time.time() - start < 30
+    assert got == library.encode(long, add_bos=True, add_eos=True)
