@@ -18,7 +18,7 @@ _F = """f as (select l_orderkey as batch_id, l_linenumber, l_partkey, case l_lin
 _K = "case l_linenumber%5 when 0 then 'stm_pdf' when 1 then 'bo_main' when 2 then 'pm_statement' when 3 then 'doc_clarify' else 'unknown' end"
 
 
-def _mails(t: Tables) -> DataFrame:
+def mail_rows(t: Tables) -> DataFrame:
     n = t.nation.select("n_nationkey", "n_name")
     c = t.customer.select("c_custkey", "c_nationkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("n_nationkey") % 3
@@ -28,13 +28,13 @@ def _mails(t: Tables) -> DataFrame:
         (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=F.col("o_orderkey").cast("int") % 24)).alias("received_at"))
 
 
-def _files(t: Tables) -> DataFrame:
+def file_rows(t: Tables) -> DataFrame:
     k = F.col("l_linenumber") % 5
     name = S.case_of([(k == 0, "stm.pdf"), (k == 1, "รายงานบัญชีฝาก.xlsx"), (k == 2, "x ATP.csv"), (k == 3, "ชี้แจง.docx")], F.lit("note.txt"))
     return t.lineitem.select(
         F.col("l_orderkey").alias("batch_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), name.alias("file_name"),
         F.when(k == 3, "doc_clarify").otherwise("unknown").alias("kind"), (F.col("l_returnflag") == "R").alias("parsed"), F.lit(None).cast("string").alias("company"),
-        F.when(F.col("l_returnflag") == "A", "bad").alias("parse_error"))
+        F.when(F.col("l_returnflag") == "A", "bad").alias("parse_error"), F.xxhash64("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("path_no"))
 
 
 def _rules(t: Tables) -> DataFrame:
@@ -55,16 +55,22 @@ miss as (select *, case when own=1 and not (list_contains(kinds,'stm_pdf') or li
  case when not list_contains(kinds,'bo_main') then 'bo_main' end as m2 from comp)"""
 
 
-@check("job_completeness", f"with {_C} select {DAY}, company, mails, files, parsed, errors, sys as system, array_to_string(kinds, ',') as kinds from comp")
+COMPLETENESS_SQL = f"with {_C} select {DAY}, company, mails, files, parsed, errors, sys as system, array_to_string(kinds, ',') as kinds from comp"
+
+
+@check("job_completeness", COMPLETENESS_SQL)
 def job_completeness(t: Tables) -> DataFrame:
-    j = jobs.job_completeness(_mails(t), _files(t))
+    return completeness_rows(jobs.job_completeness(mail_rows(t), file_rows(t)))
+
+
+def completeness_rows(j: DataFrame) -> DataFrame:
     return _day(j).select("day", "company", F.col("mail_count").alias("mails"), F.col("file_count").alias("files"), F.col("parsed_count").alias("parsed"), F.col("error_count").alias("errors"),
                           F.col("business_system").alias("system"), F.array_join("present_kinds", ",").alias("kinds"))
 
 
 @check("missing_groups", f"with {_C} select {DAY}, company, concat_ws(', ', m1, m2) as missing from miss")
 def missing(t: Tables) -> DataFrame:
-    j = jobs.missing_groups(jobs.with_requirement(jobs.job_completeness(_mails(t), _files(t)), _rules(t)))
+    j = jobs.missing_groups(jobs.with_requirement(jobs.job_completeness(mail_rows(t), file_rows(t)), _rules(t)))
     return _day(j).select("day", "company", jobs.missing_text("missing_groups").alias("missing"))
 
 
@@ -77,7 +83,7 @@ st2 as (select *, case when run then 'running' when full_ and com and same then
 
 def _state(t: Tables) -> DataFrame:
     """Previous snapshot: running, completed, failed three times or absent by month; every other month had one file less."""
-    j = jobs.missing_groups(jobs.with_requirement(jobs.job_completeness(_mails(t), _files(t)), _rules(t)))
+    j = jobs.missing_groups(jobs.with_requirement(jobs.job_completeness(mail_rows(t), file_rows(t)), _rules(t)))
     k = F.month("business_date") % 6
     old = j.filter(k != 0).select("business_date", "company", S.case_of([(k == 1, "running"), (k == 2, "completed"), (k == 3, "completed"), (k == 4, "error")], F.lit("ready")).alias("status"),
                                   (F.col("file_count") - F.month("business_date") % 2).alias("file_count"), F.lit(3).alias("attempt_count"), (k == 2).alias("late_file"))
@@ -103,7 +109,7 @@ def job_alerts(t: Tables) -> DataFrame:
 @check("daily_status", f"""with {_B}, {_F} select {DAY}, company, count(distinct b.id) as mails, count(f.batch_id) as files, count(*) filter (where parsed) as parsed, count(*) filter (where failed) as errors,
  strftime(max(received),'%Y-%m-%d %H:%M:%S') as last_mail from b left join f on f.batch_id=b.id group by bd, company""")
 def daily_status(t: Tables) -> DataFrame:
-    d = jobs.daily_status_files(_mails(t), _files(t))
+    d = jobs.daily_status_files(mail_rows(t), file_rows(t))
     return _day(d).select("day", "company", F.col("mail_count").alias("mails"), F.col("file_count").alias("files"), F.col("parsed_count").alias("parsed"), F.col("error_count").alias("errors"),
                           F.date_format("last_mail_at", "yyyy-MM-dd HH:mm:ss").alias("last_mail"))
 
@@ -239,7 +245,7 @@ def digest_daily(t: Tables) -> DataFrame:
 
 @check("storage_status", f"""with {_F} select count(*) as total, count(*) filter (where l_linenumber%5<>3) as readable, count(*) filter (where parsed) as parsed, count(*) filter (where failed) as failed from f""")
 def storage_status(t: Tables) -> DataFrame:
-    return jobs.storage_file_status(_files(t)).select("total", "readable", "parsed", "failed")
+    return jobs.storage_file_status(file_rows(t)).select("total", "readable", "parsed", "failed")
 
 
 @check("upsert_latest", """select l_orderkey as key, max(strftime(l_shipdate,'%Y-%m-%d')) as latest from lineitem group by 1""")
