@@ -31,7 +31,7 @@ BANDS, ROWS = 32, 4
 REACH = 0.8 - 3.5 * (0.8 * 0.2 / COMPONENTS) ** 0.5
 #: Texts of a block of a bucket or cluster, bytes of the multisets of a block of a cluster, and shingles of an incidence matrix; a
 #: task holds two blocks at a time.
-BLOCK, BLOCK_BYTES, COLUMNS = 2048, 8_000_000, 2048
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8_000_000, 2048
 #: Words kept in a Python worker.
 CACHE_WORDS = 250_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -140,6 +140,19 @@ def _across(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (every, every)
 
 
+def _connecting(root: np.ndarray, roots: int, left: np.ndarray, right: np.ndarray, near, step: int):
+    """Pairs of rows, at most one less than there are roots, that connect all roots with a near pair; ``step`` rows of ``left`` at a time."""
+    joined = _Joined(roots)
+    for at in range(0, len(left), step):
+        own = left[at : at + step]
+        group = np.array([joined.top(r) for r in range(roots)])
+        i, j = np.nonzero(near(own) & (group[root[own]][:, None] != group[root[right]][None, :]))
+        _, some = np.unique(group[root[own[i]]] * roots + group[root[right[j]]], return_index=True)
+        for x, y in zip(own[i[some]].tolist(), right[j[some]].tolist()):
+            if joined.join(int(root[x]), int(root[y])):
+                yield x, y
+
+
 def _root_links(members: DataFrame) -> DataFrame:
     """Enough pairs of components to connect those with near signatures.  ``members``: ``band``, ``key``, ``digest``, ``root``, ``sig``, ``blocks``."""
 
@@ -151,15 +164,11 @@ def _root_links(members: DataFrame) -> DataFrame:
         root, names = _numbered(roots)
         sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), COMPONENTS)
         left, right = _across(side)
-        joined, step = _Joined(len(names)), max(1, 4_000_000 // max(1, len(right) * COMPONENTS))
-        for at in range(0, len(left), step):
-            own = left[at : at + step]
-            near = (sig[own][:, None, :] == sig[right][None, :, :]).sum(axis=2, dtype=np.uint8) >= np.ceil(COMPONENTS * (REACH + (1 - REACH) / 256))
-            i, j = np.nonzero(near & (root[own][:, None] != root[right][None, :]))
-            for pair in np.unique(root[own[i]] * len(names) + root[right[j]]).tolist():
-                a, b = divmod(pair, len(names))
-                if joined.join(a, b):
-                    yield names[a], names[b]
+
+        def near(own):
+            return (sig[own][:, None, :] == sig[right][None, :, :]).sum(axis=2, dtype=np.uint8) >= np.ceil(COMPONENTS * (REACH + (1 - REACH) / 256))
+
+        yield from ((names[root[i]], names[root[j]]) for i, j in _connecting(root, len(names), left, right, near, max(1, 2_000_000 // (len(right) * COMPONENTS))))
 
     placed = block_pairs(members, ["band", "key"], "digest", ["root", "sig"])
     return map_groups(placed, ["band", "key", "x", "y"], ["side", "root", "sig"], compare, "a binary, b binary")
@@ -198,11 +207,14 @@ def _verified_links(members: DataFrame) -> DataFrame:
         size = np.array([len(b) for b in bags], np.float64)
         left, right = _across(side)
         both = _overlaps(bags, left, right)
-        near = (both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both)) & (root[left][:, None] != root[right][None, :])
-        joined = _Joined(len(names))
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            if joined.join(int(root[left[i]]), int(root[right[j]])):
-                yield digests[left[i]], digests[right[j]]
+        place = np.zeros(len(bags), np.int64)
+        place[left] = np.arange(len(left))
+
+        def near(own):
+            common = both[place[own]]
+            return common >= SIMILARITY * (size[own][:, None] + size[right][None, :] - common)
+
+        yield from ((digests[i], digests[j]) for i, j in _connecting(root, len(names), left, right, near, 128))
 
     placed = block_pairs(members, ["cluster"], "digest", ["digest", "root", "bag"])
     return map_groups(placed, ["cluster", "x", "y"], ["side", "digest", "root", "bag"], compare, "a binary, b binary")
