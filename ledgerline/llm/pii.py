@@ -14,7 +14,7 @@ KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
 ROUNDS = 8
 
 # The formats that are searched for.
-_EMAIL = r"[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_EMAIL = r"(?<!\.)[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _IP = r"(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 _DATE = r"(?:\d{4}(?<a>[-/.])\d{1,2}\k<a>\d{1,2}|\d{1,2}(?<b>[-/.])\d{1,2}\k<b>\d{4})(?!\d)"
@@ -170,14 +170,16 @@ def _email(key: str, x: Column) -> Column:
     u = n - F.floor(n / 2).cast("int")
 
     def shifted(half, other, i):
-        def one(c, k):
-            block = F.floor(k / 32).cast("int")
-            word = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i, block, other), 256)
-            s = F.conv(F.substring(word, (k % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.length(half) - 1, F.lit(0)) / 32).cast("int"))
+        stream = F.array_join(F.transform(blocks, lambda block: F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i, block, other), 256)), "")
+
+        def moved(c, s):
             move = lambda first, size: F.char(F.lit(first) + (F.ascii(c) - first + s) % size)
             return F.when(c.between("a", "z"), move(97, 26)).when(c.between("A", "Z"), move(65, 26)).when(c.between("0", "9"), move(48, 10)).otherwise(c)
 
-        return F.array_join(F.transform(F.split(half, ""), one), "")
+        # one hash for every 32 characters, made once: a shift is two of its hexadecimal digits
+        shifts = F.transform(F.regexp_extract_all(stream, F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
+        return F.array_join(F.zip_with(F.split(half, ""), F.slice(shifts, F.lit(1), F.greatest(F.length(half), F.lit(1))), moved), "")
 
     def step(s, i):
         return F.when(i % 2 == 1, F.struct(shifted(s["l"], s["r"], i).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), shifted(s["r"], s["l"], i).alias("r")))
@@ -194,21 +196,39 @@ def _ip(key: str, x: Column) -> Column:
 
 
 def _date(key: str, x: Column) -> Column:
-    """Another day of the same hundred years; days of a hundred years are 75 x 487 or, without a leap century, 92 x 397."""
+    """Another date of the same hundred years, written in the same order.
+
+    A day over 12 becomes one over 12 and a day up to 12 one up to 12, so what can be read in one order only stays so, and results of
+    the two orders never meet.  Days of a hundred years are 75 x 487 or, without a leap century, 92 x 397; dates with a day up to 12 are 120 x 120.
+    """
     day = _as_date(x)
     first_year = F.floor((F.year(day) - 1930) / 100).cast("int") * 100 + 1930
     start = F.make_date(first_year, F.lit(1), F.lit(1))
     long = F.datediff(F.make_date(first_year + 100, F.lit(1), F.lit(1)), start) == 36525
     a, b = F.when(long, 75).otherwise(92).cast("bigint"), F.when(long, 487).otherwise(397).cast("bigint")
-    n = F.datediff(day, start).cast("bigint")
-    out = feistel(key, "date", F.floor(n / b), n % b, a, b)
-    new = F.transform(F.array(out), lambda s: F.date_add(start, (s["l"] * b + s["r"]).cast("int")))[0]
+    number = lambda d: F.datediff(d, start).cast("bigint")
+
+    def permuted(tag: str, n: Column) -> Column:
+        return F.transform(F.array(feistel(key, tag, F.floor(n / b), n % b, a, b)), lambda s: s["l"] * b + s["r"])[0]
+
+    # the first day over 12 that repeated permuting comes to; more than 63 steps have a chance of 1e-25
+    step = lambda n, i: F.when((i > 1) & (F.dayofmonth(F.date_add(start, n.cast("int"))) > 12), n).otherwise(permuted("date", n))
+    late = F.date_add(start, F.aggregate(F.sequence(F.lit(1), F.lit(64)), number(day), step).cast("int"))
+    early = (F.year(day) - first_year) * 144 + (F.month(day) - 1) * 12 + F.dayofmonth(day) - 1
+    pair = feistel(key, "date-both", F.floor(early / 120), early % 120, 120, 120)
+    both = F.transform(F.transform(F.array(pair), lambda s: (s["l"] * 120 + s["r"]).cast("int")), lambda n: F.make_date(first_year + F.floor(n / 144).cast("int"), (F.floor(n / 12) % 12 + 1).cast("int"), n % 12 + 1))[0]
+    dmy = F.try_to_timestamp(F.regexp_replace(x, "[/.]", "-"), F.lit("d-M-yyyy")).isNotNull()
+    ymd = x.rlike(r"^\d{4}")
+    new = F.when(F.dayofmonth(day) <= 12, both).otherwise(late)
     sep = F.regexp_extract(x, r"^\d+(\D)", 1)
     two = lambda v, short: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
     short = x.rlike(r"(^|\D)[1-9](\D|$)")
-    d, m, y = two(F.dayofmonth(new), short), two(F.month(new), short), F.year(new).cast("string")
-    dmy = F.try_to_timestamp(F.regexp_replace(x, "[/.]", "-"), F.lit("d-M-yyyy")).isNotNull()
-    return F.when(x.rlike(r"^\d{4}"), F.concat(y, sep, m, sep, d)).when(dmy, F.concat(d, sep, m, sep, y)).otherwise(F.concat(m, sep, d, sep, y))
+
+    def written(date: Column) -> Column:
+        d, m, y = two(F.dayofmonth(date), short), two(F.month(date), short), F.year(date).cast("string")
+        return F.when(ymd, F.concat(y, sep, m, sep, d)).when(dmy, F.concat(d, sep, m, sep, y)).otherwise(F.concat(m, sep, d, sep, y))
+
+    return F.transform(F.array(new), written)[0]
 
 
 def _ssn(key: str, x: Column) -> Column:

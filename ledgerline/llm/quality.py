@@ -51,14 +51,13 @@ def statistics(text: str | None) -> np.ndarray:
     out[6], out[7] = len(set(lines)) / len(lines), np.log1p(w / len(lines))
     out[8], out[9], out[10] = text.count(".") / w, text.count(",") / w, text.count(" ") / n
     out[11] = np.count_nonzero(raw > 127) / n
-    edges = np.arange(0, n, BLOCK)
+    edges = np.arange(0, max(n - BLOCK // 2, 1), BLOCK)  # a short tail belongs to the block before it
     held = np.diff(np.r_[edges, n])
     for i in range(5):
         share = np.add.reduceat(_CLASSES[i][raw], edges) / held
-        if held[-1] < BLOCK // 2 and len(held) > 1:
-            share = share[:-1]
         out[12 + i], out[17 + i], out[22 + i] = share.mean(), share.max(), share.std()
-    out[27] = min(len(set(words[a : a + 40])) / len(words[a : a + 40]) for a in range(0, max(w - 20, 1), 40))
+    starts = [*range(0, max(w - 20, 1), 40), w]
+    out[27] = min(len(set(words[a:b])) / (b - a) for a, b in zip(starts, [*starts[1:-1], w]))
     out[28] = np.count_nonzero(sizes <= 3) / w
     return out
 

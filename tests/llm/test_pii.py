@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from ledgerline.llm import pii
 from ledgerline.llm.queries import QUERIES
@@ -94,3 +95,27 @@ def test_values_before_numbers_and_capitals_are_found(spark):
         for _, v in want:
             same = same.replace(v, "#" * len(v), 1)
         assert all(a == "#" or a == b for a, b in zip(same, n))
+
+
+def test_dates_of_both_orders_never_meet(spark):
+    rnd = random.Random(4)
+    days = [(rnd.randint(1930, 2029), rnd.randint(1, 12), rnd.randint(1, 28)) for _ in range(1500)]
+    values = sorted({w for y, m, d in days for w in (f"{d:02d}/{m:02d}/{y}", f"{m:02d}/{d:02d}/{y}", f"{y}/{m:02d}/{d:02d}")})
+    new, found = run(spark, values)
+    assert all(f == [("date", v)] for f, v in zip(found, values))
+    assert len(set(new)) == len(values)
+    back = dict(zip(values, new))
+    for y, m, d in days:
+        if d > 12:  # one date in every order
+            a, b, c = back[f"{d:02d}/{m:02d}/{y}"].split("/"), back[f"{m:02d}/{d:02d}/{y}"].split("/"), back[f"{y}/{m:02d}/{d:02d}"].split("/")
+            assert a == [b[1], b[0], b[2]] == c[::-1] and int(a[0]) > 12
+
+
+def test_dotted_runs_and_long_names_take_linear_time(spark):
+    run(spark, ["a@b.de"])
+    start = time.time()
+    dots, name = "a." * 60_000, "ab.c-1" * 2000
+    new, found = run(spark, [dots, f"x {name}@mail.example.com y", f"{dots} .j.doe@example.org"])
+    assert time.time() - start < 60
+    assert new[0] == dots and found[0] == [] and [k for k, _ in found[1]] == ["email"] and found[2][-1] == ("email", ".j.doe@example.org")
+    assert new[1] != f"x {name}@mail.example.com y" and len(new[1]) == len(name) + 21
