@@ -6,7 +6,13 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.operators import registry, reports, statements
+from ledgerline.operators.renormalize import changed_files, fingerprints, renormalize
+from ledgerline.plans.files import reconcile_files
 from ledgerline.queries.base import Tables, check
+from ledgerline.queries.recon import EXCEPTION_CTES
+from ledgerline.queries.sides import bo_side, greedy_sql, stm_side
+from ledgerline.session import stage
+from ledgerline.settings import Settings
 from ledgerline.sources import lines as L
 from ledgerline.sources import rows as R
 
@@ -267,6 +273,29 @@ def generic_rows(t: Tables) -> DataFrame:
                       F.col("drop_reason").alias("dropped"), "cross_day")
 
 
+@check("renormalized", f"""select strftime(ts,'%Y-%m-%d') as file, case when strftime(ts,'%d')='30' then 'new' when strftime(ts,'%d')='05' then 'changed' else 'kept' end as how,
+ count(*) as n, count(*) filter (where {_GENERIC_REASON} is null) as good, cast(sum(event_id) as bigint) as refs from events where strftime(ts,'%d')<>'07' group by 1, 2""")
+def renormalized(t: Tables) -> DataFrame:
+    """A second run in which one file has lost and got back a row's value, one is new, and one is no longer listed."""
+    rows, files = _generic_rows(t)
+    first_rows = rows.filter(~F.col("file_id").endswith("-30")).withColumn("cells", F.when(F.col("file_id").endswith("-05") & (F.col("row_no") > 1), F.transform("cells", lambda c, i: F.when(i == 4, "1.00").otherwise(c))).otherwise(F.col("cells")))
+    stored, _, _ = renormalize(first_rows, files.filter(~F.col("file_id").endswith("-30")), None, reports.normalize)
+    listed = files.filter(~F.col("file_id").endswith("-07"))
+    now, redo, _ = renormalize(rows.join(listed, "file_id", "left_semi"), listed, stage(stored, "renormalized"), reports.normalize)
+    out = now.join(redo.select("file_id", "why"), "file_id", "left").groupBy("file_id", F.coalesce("why", F.lit("kept")).alias("how"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("drop_reason").isNull()).alias("good"), F.sum(F.col("ref").cast("bigint")).alias("refs")).withColumnRenamed("file_id", "file")
+
+
+@check("renormalized_setting", """select how, count(distinct cast(ts as date)) as files from events, (values ('kept'), ('redone')) h(how) group by how""")
+def renormalized_setting(t: Tables) -> DataFrame:
+    """A setting that normalising does not use redoes no file; one that it uses redoes all."""
+    rows, files = _generic_rows(t)
+    before = stage(fingerprints(rows, files), "fingerprints")
+    other, used = Settings(unit_rows=7), Settings(late_night_sec=80000)
+    how = lambda cfg: fingerprints(rows, files, cfg).join(changed_files(fingerprints(rows, files, cfg), before), "file_id", "left").select(F.when(F.col("why").isNull(), "kept").otherwise("redone").alias("how"))
+    return how(other).unionByName(how(used)).groupBy("how").agg(F.count(F.lit(1)).alias("files"))
+
+
 @check("quarantine_counts", f"""select strftime(ts,'%Y-%m-%d') as file, {_GENERIC_REASON} as reason, count(*) as n from events where {_GENERIC_REASON} is not null group by 1, 2""")
 def quarantine(t: Tables) -> DataFrame:
     rows, files = _generic_rows(t)
@@ -364,3 +393,31 @@ def account_tagging(t: Tables) -> DataFrame:
 def unseen_accounts(t: Tables) -> DataFrame:
     heads = t.customer.select(F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("account"), F.lit("KTB").alias("bank"), F.col("c_name").alias("holder"))
     return registry.register_unseen(heads, _accounts(t)).select("account", "bank")
+
+
+# ------------------------------------------------------------------------------------------ from raw files to a run
+def _raw_side(side: DataFrame, headers: list[str], cells: list[Column], prefix: str) -> DataFrame:
+    """One file a day: header row, then the rows of ``side`` in order of ``seq``."""
+    file = F.concat(F.lit(prefix), F.col("job_date").cast("string"))
+    heads = side.select(file.alias("file_id")).distinct().select("file_id", F.lit(1).cast("int").alias("row_no"), F.array(*[F.lit(h) for h in headers]).alias("cells"))
+    return heads.unionByName(side.select(file.alias("file_id"), (F.col("seq") + 2).cast("int").alias("row_no"), F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells]).alias("cells")))
+
+
+@check("files_to_run", f"""with recursive {greedy_sql(False, by_time=True)}, {EXCEPTION_CTES},
+js as (select d, count(*) n from s group by d), jb as (select d, count(*) n from b group by d), jm as (select s.d, count(*) n from p1 join s on s.seq=s_seq group by s.d), je as (select d, count(*) n from excn group by d)
+select cast(js.d as varchar) as day, js.n as stm_count, jb.n as bo_count, coalesce(jm.n,0) as matched, coalesce(je.n,0) as exception_count from js join jb using (d) left join jm using (d) left join je using (d)""")
+def files_to_run(t: Tables) -> DataFrame:
+    """Both sides written as the rows of daily files, read by header words and report format, and reconciled."""
+    clock = F.date_format(F.timestamp_seconds(F.col("sec").cast("bigint")), "HH:mm:ss")
+    account = F.concat(F.lit("60000000"), F.lpad("account", 2, "0"))
+    amount, out = F.format_string("%.2f", F.col("amount").cast("double")), F.col("direction") == "withdraw"
+    bank = _raw_side(stm_side(t), ["วันที่", "เวลา", "รายการ", "ถอน", "ฝาก", "เลขที่บัญชี", "ref"],
+                     [F.date_format("date", "d/M/yyyy"), clock, F.lit("X1 IN"), F.when(out, amount), F.when(~out, amount), account, F.col("seq")], "scb_stm_")
+    at = F.concat_ws(" ", F.col("date").cast("string"), clock)
+    office = _raw_side(bo_side(t), ["วันที่ทำรายการ", "วันที่ธนาคาร", "จำนวนเงินฝากจริง (บาท)", "จำนวนเงินถอนจริง", "ชื่อธนาคาร", "สมาชิก", "รหัสอ้างอิง"],
+                       [at, at, F.when(out, "0").otherwise(amount), F.when(out, amount).otherwise("0"), F.concat(account, F.lit(" : Manual")), F.lit("n | M1"), F.col("seq")], "AT4 ")
+    rows = bank.unionByName(office)
+    day = F.to_date(F.substring("file_id", -10, 10))
+    files = rows.select("file_id").distinct().select("file_id", F.concat("file_id", F.lit(".xlsx")).alias("file_name"), F.lit(0).alias("file_seq"), day.alias("job_date"), F.lit("AT4").alias("job_company"))
+    run = reconcile_files(rows, files)
+    return run.summary().select(F.col("job_date").cast("string").alias("day"), "stm_count", "bo_count", "matched", "exception_count")

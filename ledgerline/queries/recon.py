@@ -57,7 +57,7 @@ def recon_match_untimed(t: Tables) -> DataFrame:
     return _day(with_job(pairs)).select("day", F.col("stm_seq").alias("s_seq"), F.col("bo_seq").alias("b_seq"), F.col("dt_sec").cast("bigint").alias("dt"), "pass")
 
 
-_LEFT = """
+EXCEPTION_CTES = """
 acc as (select distinct d, account from s),
 mb as (select b.* from b join p1 on p1.b_seq = b.seq),
 sl as (select * from s where seq not in (select s_seq from pairs)),
@@ -79,7 +79,7 @@ _SEV = """case when risk > 1000000 then 'critical' when type in ('amount_diff','
  when type in ('missing_bo','missing_stm') then 'high' when type='cross_day' then 'medium' else 'low' end"""
 
 
-@check("recon_exceptions", f"""with recursive {greedy_sql(False)}, {_LEFT}
+@check("recon_exceptions", f"""with recursive {greedy_sql(False)}, {EXCEPTION_CTES}
 select {DAY} as day, 'EX-' || n as id, type, account, cast(sec as bigint) as sec, cast(bank as bigint) as bank_cents, cast(sys as bigint) as system_cents,
  cast(risk as bigint) as risk_cents, cast(dt as bigint) as dt, {_SEV} as severity, 'user' || u as employee,
  case when sec < 28800 then 'night' when sec < 57600 then 'morning' else 'afternoon' end as shift,
@@ -92,7 +92,7 @@ def recon_exceptions(t: Tables) -> DataFrame:
         "severity", "employee", "shift", F.col("age_hours").cast("bigint").alias("age"))
 
 
-_JOBS = f"""with recursive {greedy_sql(False)}, {_LEFT},
+_JOBS = f"""with recursive {greedy_sql(False)}, {EXCEPTION_CTES},
 js as (select d, count(*) n from s group by d), jb as (select d, count(*) n from b group by d),
 jm as (select s.d, count(*) n, count(*) filter (where dt > 0.6 * case when s.dir='withdraw' then 180 else 90 end) near from p1 join s on s.seq=s_seq group by s.d),
 je as (select d, count(*) n from excn group by d), jw as (select d, count(*) n from bl where not has_stm group by d)"""

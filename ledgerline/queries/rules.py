@@ -5,9 +5,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.operators import rules
-from ledgerline.operators.merge import merge_by_ref
+from ledgerline.operators.merge import merge_by_ref, refs_first
+from ledgerline.operators.ranking import row_number_blocked
 from ledgerline.queries.base import Tables, check
 from ledgerline.queries.sides import event_base
+from ledgerline.schema import row_identity
 
 CENTS = lambda c: F.round(F.col(c) * 100).cast("bigint")
 _FMT = "case l_linenumber%4 when 3 then 'bo_main' when 2 then 'manual_credit' when 1 then 'manual_payment' end"
@@ -22,7 +24,6 @@ select l_orderkey as ref, min(seq) as seq, arg_min(l_partkey, -rk*cast(100000000
  case when count(*) > 1 then coalesce(max(l_tax > 0.06), false) else arg_min(case when l_tax > 0.06 then true end, seq) end as manual, count(*) as n from m group by l_orderkey""")
 def merge_query(t: Tables) -> DataFrame:
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
-    from ledgerline.operators.ranking import row_number_blocked
     li = row_number_blocked(t.lineitem, [], F.shiftright("l_orderkey", 10), order, "seq")
     rows = li.select(
         F.col("l_orderkey").cast("string").alias("ref"), F.lit(1).alias("job"), "seq",
@@ -36,6 +37,23 @@ def merge_query(t: Tables) -> DataFrame:
         F.col("ref").cast("bigint").alias("ref"), "seq", F.col("l_partkey").alias("part"), "note", "cust_account", "manual", "n")
 
 
+@check("merge_identity", """with r as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as k from lineitem),
+i as (select *, case when l_linenumber%2=0 then l_orderkey||'' end as ref, (l_linenumber%4*cast(524288 as bigint)+9)*4398046511104 + k as seq from r),
+m as (select ref, min(seq) as seq from i where ref is not null group by ref union all select ref, seq from i where ref is null)
+select coalesce(ref,'-') as ref, seq, row_number() over (order by ref is null, seq) as place from m""")
+def merge_identity(t: Tables) -> DataFrame:
+    """Files far apart in number, half of the rows without a reference: all identities stay apart and rows with a reference come first."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+    li = row_number_blocked(t.lineitem, [], F.shiftright("l_orderkey", 10), order, "k")
+    file = F.col("l_linenumber") % 4 * 524288 + 9
+    rows = li.select(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey").cast("string")).alias("ref"), F.lit(1).alias("job"), row_identity(file.cast("bigint"), F.col("k")).alias("seq"), F.lit("bo_main").alias("format_code"),
+                     F.lit(True).alias("manual"), F.lit(None).cast("string").alias("via"),
+                     *[F.lit(None).cast("string").alias(c) for c in ("note", "cust_account", "cust_name", "bank", "credit_before", "credit_after", "member_code", "member_nick", "pay_order")])
+    merged = refs_first(merge_by_ref(rows, ["job"])).select("ref", "seq")
+    placed = row_number_blocked(merged, [], F.shiftright("seq", 40), ["seq"], "place")
+    return placed.select(F.coalesce("ref", F.lit("-")).alias("ref"), F.when(F.col("seq") < 0, F.col("seq") - F.lit(-(1 << 63)).cast("bigint")).otherwise(F.col("seq")).alias("seq"), "place")
+
+
 def _commissions(t: Tables) -> DataFrame:
     """Orders as commission requests: member = customer group, day = order month start."""
     k = F.col("o_orderkey")

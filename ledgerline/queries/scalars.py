@@ -59,11 +59,11 @@ _RE = r"([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?"
 @check("text_scan", rf"""select doc_id, case when regexp_matches(text, '{_RE}') then cast(regexp_extract(text,'{_RE}',1) as bigint)*3600
  + cast(regexp_extract(text,'{_RE}',2) as bigint)*60 + coalesce(try_cast(nullif(regexp_extract(text,'{_RE}',3),'') as bigint),0) end as sec,
  nullif(lower(regexp_extract(text,'([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}})',1)),'') as email,
- lower(regexp_replace(text,'[\s\x{{200B}}\x{{00A0}}\x{{FEFF}}]','','g')) = lower(regexp_replace(text,'[\s\x{{200B}}\x{{00A0}}\x{{FEFF}}]','','g')) as normed,
+ md5(lower(regexp_replace(text,'[\s\x{{200B}}\x{{00A0}}\x{{FEFF}}]','','g'))) as normed,
  contains(lower(text),'success') or contains(text,'สำเร็จ') or contains(text,'อนุมัติ') or trim(text)='' as ok_status from documents""")
 def text_scan(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", S.sec_of("text").cast("bigint").alias("sec"), X.sender_email("text").alias("email"),
-                              (X.header_norm("text") == X.header_norm("text")).alias("normed"), X.ok_status("text").alias("ok_status"))
+                              F.md5(X.header_norm("text")).alias("normed"), X.ok_status("text").alias("ok_status"))
 
 
 @check("text_tokens", r"""select page_id, len(list_filter(regexp_split_to_array(regexp_replace(lower(html),'[._/\\()\-]',' ','g'),'[ \t\n\r\f\v]+'), lambda x: x<>'')) as tokens,

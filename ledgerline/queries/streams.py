@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators import jobs
 from ledgerline.queries.base import Tables, check
 from ledgerline.queries.incidents import INTERVAL_ROWS, INTERVALS, interval_rows
-from ledgerline.queries.operations import COMPLETENESS_SQL, completeness_rows, file_rows, mail_rows
-from ledgerline.session import staging_path
+from ledgerline.queries.operations import COMPLETENESS_SQL, LATE_SQL, completeness_rows, file_rows, mail_rows, rule_rows
+from ledgerline.session import stage, staging_path
 from ledgerline.streaming.deltas import completeness_deltas, completeness_so_far
 from ledgerline.streaming.probes import incidents_so_far, probe_incidents_stream, probe_window_counts, window_counts_so_far
 from ledgerline.streaming.tables import ingest_once, read_table
@@ -83,3 +84,24 @@ def stream_completeness(t: Tables) -> DataFrame:
     files = _in_batches(_versions(t), "file-versions", ["storage_path", "ingested_at"])
     completeness_deltas(files, f"{folder}/sums", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return completeness_rows(completeness_so_far(t.spark, f"{folder}/sums", mail_rows(t)))
+
+
+@check("stream_late_rerun", LATE_SQL)
+def stream_late_rerun(t: Tables) -> DataFrame:
+    """Jobs that were complete and run before files of a few more mails came: they are marked late and run again."""
+    folder, mails = staging_path(t.spark, "late-stream"), mail_rows(t)
+    files = file_rows(t).withColumn("storage_path", F.concat_ws("-", "batch_id", "id", "path_no")).withColumn("ingested_at", F.lit("2024-01-01 00:00:00").cast("timestamp")).drop("path_no")
+    late, now = F.col("batch_id") % 997 == 5, F.lit("1998-06-15 00:00:00").cast("timestamp")
+
+    def arrive(rows: DataFrame, previous: DataFrame) -> DataFrame:
+        rows.write.mode("append").parquet(f"{folder}/files")
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/files")
+        completeness_deltas(stream, f"{folder}/sums", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        known = completeness_so_far(t.spark, f"{folder}/sums", mails)
+        return stage(jobs.job_status(jobs.missing_groups(jobs.with_requirement(known, rule_rows(t))), previous, now), "late-jobs")
+
+    none = t.spark.createDataFrame([], "business_date date, company string, status string, file_count bigint, attempt_count int, late_file boolean")
+    first = arrive(files.filter(~late), none)
+    done = first.select("business_date", "company", F.when(F.col("status") == "ready", "completed").otherwise(F.col("status")).alias("status"), "file_count", "attempt_count", "late_file")
+    second = arrive(files.filter(late), done)
+    return second.filter("late_file").select(F.date_format("business_date", "yyyy-MM-dd").alias("day"), "company", "status", F.col("file_count").alias("files"))
