@@ -122,11 +122,9 @@ class _Joined:
             self.up[x] = x = self.up[self.up[x]]
         return x
 
-    def join(self, a: int, b: int) -> bool:
-        """True if the two were apart."""
+    def join(self, a: int, b: int) -> None:
         a, b = self.top(a), self.top(b)
         self.up[max(a, b)] = min(a, b)
-        return a != b
 
 
 def _numbered(values: tuple) -> tuple[np.ndarray, list]:
@@ -141,16 +139,20 @@ def _across(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _connecting(root: np.ndarray, roots: int, left: np.ndarray, right: np.ndarray, near, step: int):
-    """Pairs of rows, at most one less than there are roots, that connect all roots with a near pair; ``step`` rows of ``left`` at a time."""
+    """Pairs of rows, at most one less than there are roots, that connect all roots joined by near pairs, as stars so that no long chain
+    has to be followed later; ``step`` rows of ``left`` at a time."""
     joined = _Joined(roots)
     for at in range(0, len(left), step):
         own = left[at : at + step]
         group = np.array([joined.top(r) for r in range(roots)])
         i, j = np.nonzero(near(own) & (group[root[own]][:, None] != group[root[right]][None, :]))
-        _, some = np.unique(group[root[own[i]]] * roots + group[root[right[j]]], return_index=True)
-        for x, y in zip(own[i[some]].tolist(), right[j[some]].tolist()):
-            if joined.join(int(root[x]), int(root[y])):
-                yield x, y
+        for pair in np.unique(group[root[own[i]]] * roots + group[root[right[j]]]).tolist():
+            joined.join(*divmod(pair, roots))
+    some = np.zeros(roots, np.int64)
+    some[root] = np.arange(len(root))
+    for r in range(roots):
+        if (top := joined.top(r)) != r:
+            yield int(some[top]), int(some[r])
 
 
 def _root_links(members: DataFrame) -> DataFrame:
@@ -193,10 +195,10 @@ def _overlaps(bags: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 
 
 def _verified_links(members: DataFrame) -> DataFrame:
-    """Enough verified links between components to connect all that have one.  ``members``: ``cluster``, ``digest``, ``root``, ``bag``, ``blocks``."""
+    """Pairs of components that are connected by verified links, enough to connect all that are.  ``members``: ``cluster``, ``digest``, ``root``, ``bag``, ``blocks``."""
 
     def compare(key, rows):
-        side, digests, roots, bags = zip(*rows)
+        side, roots, bags = zip(*rows)
         side = np.array(side)
         if len(rows) < 2 or key[1] != key[2] and not 0 < side.sum() < len(side):
             return
@@ -214,10 +216,10 @@ def _verified_links(members: DataFrame) -> DataFrame:
             common = both[place[own]]
             return common >= SIMILARITY * (size[own][:, None] + size[right][None, :] - common)
 
-        yield from ((digests[i], digests[j]) for i, j in _connecting(root, len(names), left, right, near, 128))
+        yield from ((names[root[i]], names[root[j]]) for i, j in _connecting(root, len(names), left, right, near, 128))
 
-    placed = block_pairs(members, ["cluster"], "digest", ["digest", "root", "bag"])
-    return map_groups(placed, ["cluster", "x", "y"], ["side", "digest", "root", "bag"], compare, "a binary, b binary")
+    placed = block_pairs(members, ["cluster"], "digest", ["root", "bag"])
+    return map_groups(placed, ["cluster", "x", "y"], ["side", "root", "bag"], compare, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +251,10 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     clustered = stage(clustered.join(bags, "digest"), "minhash-clusters")
     size = clustered.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("bag")) / BLOCK_BYTES)).alias("blocks"))
     more = stage(_verified_links(clustered.join(size, "cluster")), "minhash-links")
-    return components(links.union(more)).select(F.col("node").alias("digest"), "root"), signed.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("digest")).alias("digest"))
+    top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))  # a graph of components, not of texts
+    joined = roots.join(top, "root", "left").select("digest", F.coalesce("top", "root").alias("root"))
+    alone = top.join(roots.select(F.col("digest").alias("root")), "root", "left_anti").select(F.col("root").alias("digest"), F.col("top").alias("root"))
+    return joined.unionByName(alone), signed.select("doc_id", F.when(F.col("sig").isNotNull(), F.col("digest")).alias("digest"))
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -110,3 +110,28 @@ def test_toxicity_without_a_clean_class_rejects_nothing(spark):
     for clean in (0, 1):
         labels = spark.createDataFrame([(i, int(i >= clean)) for i in range(40)], "doc_id bigint, toxic int")
         assert {r.predicted for r in toxicity.classify(docs, labels).collect()} == {0}
+
+
+def test_tails_count_and_ridge_solves_the_normal_equations(spark):
+    plain = "word one two. " * 40
+    for junk in ("A", "#" * 60, "9" * 100):
+        quiet, loud = quality.statistics(plain + "b" * len(junk)), quality.statistics(plain + junk)
+        for k in ("mean", "spread"):
+            at = [quality.NAMES.index(f"{k}_{c}") for c in ("capitals", "digits", "symbols")]
+            assert not np.allclose(quiet[at], loud[at])
+    words = [f"w{i}" for i in range(55)]
+    assert quality.statistics(" ".join(words))[27] == 1 and quality.statistics(" ".join(words[:45] + ["w0"] * 10))[27] < 1
+    assert np.isfinite(quality.statistics("x! " * 400_000)).all()
+    docs, labels = corpus(240, seed=5)
+    df, marks = spark.createDataFrame(docs[:240], "doc_id bigint, text string, score int"), spark.createDataFrame(labels[:240], "doc_id bigint, quality int, toxic int")
+    model = quality.fit(quality.with_statistics(df), marks)
+    own = [(quality.statistics(t), y) for (i, t, _), (_, y, _) in zip(docs[:240], labels[:240]) if zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([s for s, _ in own]), np.array([v for _, v in own], float)
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    assert np.allclose(model.mean, mean) and np.allclose(model.scale, scale)
+    f = quality.fourier(x, mean, scale)
+    keep = np.eye(f.shape[1]) * quality.RIDGE * len(y) / quality.FEATURES
+    keep[-1, -1] = 0
+    assert np.allclose(f @ np.linalg.solve(f.T @ f + keep + 1e-9 * np.eye(f.shape[1]), f.T @ y), model.raw(x), atol=1e-6)
+    near = np.exp(-((x[:40, None, :] - x[None, :40, :]) / scale).clip(-6, 6).__pow__(2).sum(axis=2) / (2 * quality.WIDTH**2))
+    assert np.abs(f[:40, :-1] @ f[:40, :-1].T - near).max() < 0.35  # the features give the Gaussian kernel, up to chance
