@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.operators import filters, incidents
+from ledgerline.operators import filters, incidents, link_history
 from ledgerline.queries.base import Tables, check
 from ledgerline.sources.probes import parse_probe_events
 
@@ -161,3 +161,41 @@ def probe_summary(t: Tables) -> DataFrame:
     p = probes(t).withColumn("round", F.to_date("ts").cast("string"))
     i = incidents.incident_intervals(probes(t)).select(F.to_date("detected_at").cast("string").alias("opened_round"), F.to_date("resolved_at").cast("string").alias("resolved_round"))
     return incidents.probe_check_summary(p, i).select("round", "checked", "up", "down", F.col("new_incidents").alias("opened"), "recovered")
+
+
+_CHANGES = """i as (select o_orderkey as id, 1 + o_orderkey % 40 as link, cast(o_orderdate as timestamp) as base from orders),
+c as (select link, cast(l_shipdate as timestamp) + to_minutes(l_partkey%600) as tat, strftime(cast(l_shipdate as timestamp) + to_minutes(l_partkey%600),'%Y%m%d%H%M')||lpad(cast(l_linenumber*100000+l_partkey as varchar),9,'0')||lpad(cast(l_orderkey as varchar),12,'0') as k,
+ case when l_linenumber%5=3 then 'https://new-'||l_partkey end as url, case when l_linenumber%5=2 then 'https://backup-'||l_partkey end as backup from lineitem join i on i.id=l_orderkey where l_linenumber%5 in (2,3) and l_partkey%4<>0)"""
+
+
+def _changes(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Incidents of forty links, and what their actions write to the links."""
+    found = _order_incidents(t).withColumn("link_id", 1 + F.col("incident_id") % 40)
+    part = F.col("seq") % 100000
+    name = lambda word: F.when(part % 4 != 0, F.concat(F.lit(f" https://{word}-"), part.cast("string"))).otherwise("")
+    return found, link_history.link_changes(found, _actions(t).withColumns({"new_url": name("new"), "backup_url": name("backup")}))
+
+
+@check("link_at_incident", f"""with {_CHANGES} select i.id, coalesce(arg_max(c.url, c.k) filter (where c.url is not null), 'https://'||i.link) as url, arg_max(c.backup, c.k) filter (where c.backup is not null) as backup
+from i left join c on c.link = i.link and c.tat <= i.base where i.link <= (select max(s_suppkey) from supplier) group by i.id, i.link""")
+def link_at_incident(t: Tables) -> DataFrame:
+    """Each incident with the urls its link had when it was detected."""
+    found, changes = _changes(t)
+    out = link_history.links_at(_links(t), changes, found, "detected_at")
+    return out.filter("url is not null").select(F.col("incident_id").alias("id"), "url", F.col("backup_url").alias("backup"))
+
+
+@check("link_versions", f"""with {_CHANGES}, v as (select distinct c.* from c where link <= (select max(s_suppkey) from supplier)), w as (select *, lead(tat) over (partition by link order by k) as until from v)
+select link, count(*) as versions, count(*) filter (where until is null) as open, cast(sum(case when until is not null then epoch(until)-epoch(tat) end) as bigint) as seconds from w group by link""")
+def link_versions(t: Tables) -> DataFrame:
+    found, changes = _changes(t)
+    versions = link_history.link_history(_links(t), changes.distinct()).filter("valid_from is not null")
+    return versions.groupBy(F.col("link_id").alias("link")).agg(F.count(F.lit(1)).alias("versions"), F.count_if(F.col("valid_to").isNull()).alias("open"),
+                                                                F.sum(F.unix_timestamp("valid_to") - F.unix_timestamp("valid_from")).alias("seconds"))
+
+
+@check("links_written_back", f"""with {_CHANGES} select s_suppkey as link, coalesce(arg_max(c.url, c.k) filter (where c.url is not null), 'https://'||s_suppkey) as url, arg_max(c.backup, c.k) filter (where c.backup is not null) as backup,
+ case when max(c.url) is not null then 'UNKNOWN' when s_suppkey%5=0 then 'DOWN' when s_suppkey%5=1 then 'UNKNOWN' else 'UP' end as status from supplier left join c on c.link = s_suppkey group by s_suppkey""")
+def links_written_back(t: Tables) -> DataFrame:
+    _, changes = _changes(t)
+    return link_history.links_written_back(_links(t), changes).select(F.col("link_id").alias("link"), "url", F.col("backup_url").alias("backup"), F.col("last_status").alias("status"))

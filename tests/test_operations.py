@@ -7,7 +7,9 @@ from ledgerline.operators import incidents, jobs, registry
 from ledgerline.plans.reconcile import reconcile
 from ledgerline.sources import sinks
 from ledgerline.streaming.ingest import completeness_stream
-from ledgerline.streaming.probes import incident_step, incidents_so_far
+from ledgerline.streaming.deltas import completeness_deltas, completeness_so_far
+from ledgerline.streaming.epochs import compact, read_epochs, write_epoch
+from ledgerline.streaming.probes import PART_SECONDS, incidents_so_far, probe_incidents_stream
 from tests.test_matching import CFG, rows
 
 T = dt.datetime
@@ -92,10 +94,54 @@ def test_incidents_stream_equals_batch(spark, tmp_path):
     data.sort(key=lambda r: (r[2], r[1]))
     p = "link_id string, probe_id bigint, ts timestamp, status string"
     want = {tuple(r) for r in incidents.incident_intervals(spark.createDataFrame(data, p)).collect()}
-    for part in (data[40:80], data[120:], data[:40], data[80:120], data[80:120]):  # late parts, and a repeated micro-batch
-        incident_step(spark.createDataFrame(part, p), str(tmp_path), buckets=2)
-    got = [tuple(r) for r in incidents_so_far(spark, str(tmp_path)).collect()]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (data[40:80], data[120:], data[:40], data[80:120], data[80:120]):  # late parts, and one that comes twice
+        spark.createDataFrame(part, p).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(p).parquet(src)
+        probe_incidents_stream(stream, out, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in incidents_so_far(spark, out).collect()]
     assert len(got) == len(want) and set(got) == want
+    parts = lambda rows: {(r[0], int(r[2].replace(tzinfo=dt.timezone.utc).timestamp()) // PART_SECONDS) for r in rows}
+    for epoch, part in enumerate((data[40:80], data[120:], data[:40], data[80:120], [])):  # only parts with new probes are written
+        wrote = spark.read.schema("link_id string, part bigint").parquet(f"{out}/runs/epoch={epoch}").collect()
+        assert {(r.link_id, r.part) for r in wrote} == parts(part)
+
+
+def test_signed_changes_equal_the_newest_versions(spark, tmp_path):
+    """Files move between mails, change kind and get parsed, in any order of their versions; mails come late."""
+    import random
+    rnd = random.Random(8)
+    day = lambda i: dt.date(2026, 8, 1 + i % 3)
+    mails = [(f"b{i}", day(i), rnd.choice(["C", "D", None]), None) for i in range(12)]
+    versions = [(f"b{rnd.randrange(14)}", f"f{p}", rnd.choice(["stm.pdf", "BO x.xlsx", "x.txt"]), rnd.choice(["unknown", "bo_main"]), rnd.random() < 0.5, rnd.choice([None, "bad"]), rnd.choice([None, None, "E"]), f"p{p}", T(2026, 8, 1, v))
+                for p in range(40) for v in range(rnd.randint(1, 4))]
+    versions.append(versions[0])
+    rnd.shuffle(versions)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(4):
+        spark.createDataFrame(versions[k::4], FILE).coalesce(1).write.mode("append").parquet(src)
+        completeness_deltas(spark.readStream.schema(FILE).parquet(src), out, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    batches = spark.createDataFrame(mails, BATCH)
+    newest = jobs.upsert_latest(spark.createDataFrame([], FILE), spark.createDataFrame(versions, FILE), ["storage_path"], "ingested_at").select(*[c.split()[0] for c in FILE.split(", ")])
+    want = sorted(map(str, jobs.job_completeness(batches, newest).collect()))
+    assert sorted(map(str, completeness_so_far(spark, out, batches).select(*jobs.job_completeness(batches, newest).columns).collect())) == want and len(want) > 4
+
+
+def test_epochs_are_folded_behind_a_marker(spark, tmp_path):
+    folder, schema = str(tmp_path / "t"), "k string, n bigint"
+    fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n")).filter("k <> 'old'")
+    total = lambda: {r.k: r.n for r in read_epochs(spark, folder, schema).groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    assert total() == {}
+    for epoch in range(6):
+        write_epoch(spark.createDataFrame([("a", 1), ("b", epoch), ("old", 7)], schema), folder, epoch)
+        write_epoch(spark.createDataFrame([("a", 1), ("b", epoch), ("old", 7)], schema), folder, epoch)  # a repeated micro-batch
+        if epoch:
+            compact(spark, folder, schema, fold, epoch - 1)
+        assert total() == {"a": epoch + 1, "b": epoch * (epoch + 1) // 2, "old": 7 if epoch else 7}
+    names = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert len([n for n in names if n.startswith(("epoch", "base"))]) <= 4 and "base=4" in names
+    spark.createDataFrame([("a", 99)], schema).write.parquet(f"{folder}/base=5")  # a compaction that died before its marker
+    assert total()["a"] == 6
 
 
 def test_outage_needs_two_checkpoints(spark):
