@@ -11,6 +11,7 @@ from ledgerline import fixed
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as X
 from ledgerline.operators.detect import column_index, detect_format, detect_reports
+from ledgerline.rule_tables import DEFAULT, Rules
 from ledgerline.schema import TXN, row_identity
 from ledgerline.session import stage
 from ledgerline.settings import Settings
@@ -293,13 +294,13 @@ def normalize_generic(rows: DataFrame, files: DataFrame, cfg: Settings = Setting
     return stage(_finish(data, values), "normalized")
 
 
-def normalize(rows: DataFrame, files: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """Report formats first, the header dictionary for the remaining files."""
-    formats = stage(detect_reports(rows, files), "formats")
+def normalize(rows: DataFrame, files: DataFrame, cfg: Settings = Settings(), rules: Rules = DEFAULT) -> DataFrame:
+    """Report formats first, the header dictionary for the remaining files; ``rules`` may add to either."""
+    formats = stage(detect_reports(rows, files, rules), "formats")
     known = formats.select("file_id")
     rest = files.join(known, "file_id", "left_anti")
-    return normalize_reports(rows, files, cfg, formats).unionByName(
-        normalize_generic(rows.join(known, "file_id", "left_anti"), rest, cfg))
+    others = rows.join(known, "file_id", "left_anti")
+    return normalize_reports(rows, files, cfg, formats).unionByName(normalize_generic(others, rest, cfg, detect_format(others, rest, rules)))
 
 
 def bonuses(normalized: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ from ledgerline.operators import registry, reports, statements
 from ledgerline.operators.renormalize import changed_files, fingerprints, renormalize
 from ledgerline.plans.files import reconcile_files
 from ledgerline.queries.base import Tables, check
-from ledgerline.queries.recon import EXCEPTION_CTES
 from ledgerline.queries.sides import bo_side, greedy_sql, stm_side
+from ledgerline.rule_tables import SCHEMA as RULES
+from ledgerline.rule_tables import compile_table, table_of
 from ledgerline.session import stage
 from ledgerline.settings import Settings
 from ledgerline.sources import lines as L
@@ -273,6 +274,19 @@ def generic_rows(t: Tables) -> DataFrame:
                       F.col("drop_reason").alias("dropped"), "cross_day")
 
 
+@check("rule_tables", f"""select event_id, {_SEC} as sec, case when event_id%3=0 then 'withdraw' else 'deposit' end as direction, cast(round(value*100) as bigint)+1000 as cents, 'BBVA' as bank, 'ES-'||(user_id%20) as account from events""")
+def rule_tables(t: Tables) -> DataFrame:
+    """A bank with headers in another language, known from rows added to the table of rules."""
+    added = [("header", "date", ["fecha"], 1), ("header", "time", ["hora"], 2), ("header", "desc", ["concepto"], 3), ("header", "debit", ["cargo"], 4), ("header", "credit", ["abono"], 5),
+             ("header", "balance", ["saldo"], 6), ("header", "account", ["cuenta"], 8), ("bank", "BBVA", ["bbva"], 99)]
+    rules = compile_table(table_of(t.spark).unionByName(t.spark.createDataFrame(added, RULES)))
+    rows, days = _raw(t, ["Fecha", "Hora", "Concepto", "Cargo", "Abono", "Saldo", "Cuenta", "Ref"],
+                      [_f("d/M/yyyy"), _f("HH:mm:ss"), F.lit("pago"), F.when(F.col("wd"), F.col("amt")), F.when(~F.col("wd"), F.col("amt")), F.col("bal"), _cat("ES-", F.col("acct")), F.col("event_id")])
+    files = days.select("file_id", F.concat(F.lit("bbva "), "file_id", F.lit(".csv")).alias("file_name"), F.lit(0).alias("file_seq"), F.col("file_id").cast("date").alias("job_date"), F.lit("C").alias("job_company"))
+    out = reports.transactions(reports.normalize(rows, files, rules=rules))
+    return out.select(F.col("ref").cast("bigint").alias("event_id"), F.col("sec").cast("bigint").alias("sec"), "direction", F.col("amount_cents").alias("cents"), "bank", "account")
+
+
 @check("renormalized", f"""select strftime(ts,'%Y-%m-%d') as file, case when strftime(ts,'%d')='30' then 'new' when strftime(ts,'%d')='05' then 'changed' else 'kept' end as how,
  count(*) as n, count(*) filter (where {_GENERIC_REASON} is null) as good, cast(sum(event_id) as bigint) as refs from events where strftime(ts,'%d')<>'07' group by 1, 2""")
 def renormalized(t: Tables) -> DataFrame:
@@ -403,16 +417,16 @@ def _raw_side(side: DataFrame, headers: list[str], cells: list[Column], prefix:
     return heads.unionByName(side.select(file.alias("file_id"), (F.col("seq") + 2).cast("int").alias("row_no"), F.array(*[F.coalesce(c.cast("string"), F.lit("")) for c in cells]).alias("cells")))
 
 
-@check("files_to_run", f"""with recursive {greedy_sql(False, by_time=True)}, {EXCEPTION_CTES},
-js as (select d, count(*) n from s group by d), jb as (select d, count(*) n from b group by d), jm as (select s.d, count(*) n from p1 join s on s.seq=s_seq group by s.d), je as (select d, count(*) n from excn group by d)
-select cast(js.d as varchar) as day, js.n as stm_count, jb.n as bo_count, coalesce(jm.n,0) as matched, coalesce(je.n,0) as exception_count from js join jb using (d) left join jm using (d) left join je using (d)""")
+@check("files_to_run", f"""with recursive {greedy_sql(False, by_time=True)},
+js as (select d, count(*) n from s group by d), jb as (select d, count(*) n from b group by d), jm as (select s.d, count(*) n from p1 join s on s.seq=s_seq group by s.d)
+select cast(js.d as varchar) as day, js.n as stm_count, jb.n as bo_count, coalesce(jm.n,0) as matched from js join jb using (d) left join jm using (d)""")
 def files_to_run(t: Tables) -> DataFrame:
     """Both sides written as the rows of daily files, read by header words and report format, and reconciled."""
     clock = F.date_format(F.timestamp_seconds(F.col("sec").cast("bigint")), "HH:mm:ss")
     account = F.concat(F.lit("60000000"), F.lpad("account", 2, "0"))
     amount, out = F.format_string("%.2f", F.col("amount").cast("double")), F.col("direction") == "withdraw"
     bank = _raw_side(stm_side(t), ["วันที่", "เวลา", "รายการ", "ถอน", "ฝาก", "เลขที่บัญชี", "ref"],
-                     [F.date_format("date", "d/M/yyyy"), clock, F.lit("X1 IN"), F.when(out, amount), F.when(~out, amount), account, F.col("seq")], "scb_stm_")
+                     [F.date_format("date", "d/M/yyyy"), clock, F.lit("pago"), F.when(out, amount), F.when(~out, amount), account, F.col("seq")], "scb_stm_")
     at = F.concat_ws(" ", F.col("date").cast("string"), clock)
     office = _raw_side(bo_side(t), ["วันที่ทำรายการ", "วันที่ธนาคาร", "จำนวนเงินฝากจริง (บาท)", "จำนวนเงินถอนจริง", "ชื่อธนาคาร", "สมาชิก", "รหัสอ้างอิง"],
                        [at, at, F.when(out, "0").otherwise(amount), F.when(out, amount).otherwise("0"), F.concat(account, F.lit(" : Manual")), F.lit("n | M1"), F.col("seq")], "AT4 ")
@@ -420,4 +434,4 @@ def files_to_run(t: Tables) -> DataFrame:
     day = F.to_date(F.substring("file_id", -10, 10))
     files = rows.select("file_id").distinct().select("file_id", F.concat("file_id", F.lit(".xlsx")).alias("file_name"), F.lit(0).alias("file_seq"), day.alias("job_date"), F.lit("AT4").alias("job_company"))
     run = reconcile_files(rows, files)
-    return run.summary().select(F.col("job_date").cast("string").alias("day"), "stm_count", "bo_count", "matched", "exception_count")
+    return run.summary().select(F.col("job_date").cast("string").alias("day"), "stm_count", "bo_count", "matched")
