@@ -5,10 +5,12 @@ range-partitions every ordering; running counts give each row its rank.  A query
 curve, block by block; each block gives its nearest by exact distance, and the blocks of all curves are merged and ranked.
 
 The window is a share of the rows, because vectors without low-dimensional structure keep no order that a fixed window would catch;
-a corpus with structure can do with a smaller share.  Vectors of another length than most take no part.
+a corpus with structure can do with a smaller share.  Vectors of each length have curves, centre, spread and ranks of their own.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,6 +22,8 @@ from ledgerline.llm.vectors import usable
 NEIGHBOURS = 10
 #: Curves, directions of a curve, bits of a direction, share of the rows in a window, rows of a window at least, rows of a block, seed.
 CURVES, DIRECTIONS, BITS, WINDOW_SHARE, WINDOW_LEAST, BLOCK, SEED = 8, 8, 7, 0.3, 4096, 1024, 11
+#: Queries that meet a block in one task at most, on average.
+PART = 2048
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -79,32 +83,70 @@ def _nearest(key, rows):
         yield from ((ids[q], n, d) for d, n in found[:NEIGHBOURS])
 
 
+@dataclass(frozen=True)
+class Facts:
+    """Of the vectors of one length: how many, how many ask, place of the first in the order of all curves, centre and spread."""
+    total: int
+    asks: int
+    first: int
+    centre: np.ndarray
+    spread: float
+
+
+def _facts(given: DataFrame) -> dict[int, Facts]:
+    """Facts by length; as many numbers come to the driver as the lengths add up to."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in arrow_rows(batches, 5000):
+            dims, vecs, asks = np.array(batch.column(2).to_pylist(), np.int64), batch.column(1).to_pylist(), np.array(batch.column(3).to_pylist(), bool)
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                x = np.array([vecs[i] for i in own])
+                part = np.vstack([np.full(dim, len(own)), np.full(dim, asks[own].sum()), x.sum(axis=0), (x * x).sum(axis=0)])
+                held[int(dim)] = held.get(int(dim), 0) + part
+        out = [(d, i, *(float(v) for v in p[:, i])) for d, p in held.items() for i in range(d)]
+        names = ["dim", "i", "n", "asks", "sum", "square"]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k < 2 else pa.float64()) for k in range(6)], names)
+
+    parts = given.select("vec_id", "vec", "dim", "asks").mapInArrow(run, "dim int, i int, n double, asks double, sum double, square double")
+    got = parts.groupBy("dim", "i").agg(*[F.sum(c).alias(c) for c in ("n", "asks", "sum", "square")]).orderBy("dim", "i").collect()
+    out, first = {}, 0
+    for dim in sorted({r["dim"] for r in got}):
+        own = [r for r in got if r["dim"] == dim]
+        n, centre = own[0]["n"], np.array([r["sum"] for r in own]) / own[0]["n"]
+        spread = np.maximum(np.array([r["square"] for r in own]) / n - centre**2, 0).mean()
+        out[dim] = Facts(int(n), int(own[0]["asks"]), first, centre, float(np.sqrt(max(spread, 1e-24))))
+        first += CURVES * int(n)
+    return out
+
+
 def search(vectors: DataFrame, is_query) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` (Euclidean distance) of the nearest found of each row for which ``is_query`` holds.
 
     ``vectors`` has ``vec_id`` and ``embedding``.  Vectors that are NULL, zero or hold NULL or non-finite components take no part,
-    nor do rows without id; repeated rows count as one candidate; ties go to the smaller id; with fewer candidates all are returned.
+    nor do rows without id; vectors of different length never meet; repeated rows count as one candidate; ties go to the smaller id;
+    with fewer candidates all are returned.
     """
     rows = usable(vectors.filter("vec_id is not null"))
     kind = dict(vectors.dtypes)["vec_id"]
-    empty = f"query_id {kind}, rank int, vec_id {kind}, score double"
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], empty)
-    dim = sizes["dim"]
-    rows = rows.filter(F.size("vec") == dim)
-    facts = rows.agg(F.count(F.lit(1)), *[F.avg(F.col("vec")[i]) for i in range(dim)], *[F.var_pop(F.col("vec")[i]) for i in range(dim)]).first()
-    total, centre, spread = facts[0], np.array(facts[1 : dim + 1]), float(np.sqrt(max(np.mean(facts[dim + 1 :]), 1e-24)))
+    given = stage(rows.select("vec_id", "vec", F.size("vec").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks")), "curve-vectors")
+    facts = _facts(given)
+    if not facts:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
 
     def keyed(batches):
         for batch in arrow_rows(batches, 5000):
-            vecs = batch.column(1).flatten().to_numpy().reshape(-1, dim)
+            dims, vecs = np.array(batch.column(2).to_pylist(), np.int64), batch.column(1).to_pylist()
+            keys = np.zeros((len(vecs), CURVES), np.int64)
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                keys[own] = curve_keys(np.array([vecs[i] for i in own]), facts[dim].centre, facts[dim].spread)
             at = pa.array(np.repeat(np.arange(len(vecs)), CURVES))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(CURVES), len(vecs)), pa.int32()), pa.array(curve_keys(vecs, centre, spread).ravel()), batch.column(0).take(at), batch.column(2).take(at), batch.column(1).take(at)],
-                                             ["curve", "key", "vec_id", "asks", "vec"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(at), pa.array(np.tile(np.arange(CURVES), len(vecs)), pa.int32()), pa.array(keys.ravel()), batch.column(0).take(at), batch.column(3).take(at), batch.column(1).take(at)],
+                                             ["dim", "curve", "key", "vec_id", "asks", "vec"])
 
-    given = rows.select("vec_id", "vec", F.coalesce(is_query, F.lit(False)).alias("asks"))
-    curves = given.mapInArrow(keyed, f"curve int, key bigint, vec_id {kind}, asks boolean, vec array<double>")
+    curves = given.mapInArrow(keyed, f"dim int, curve int, key bigint, vec_id {kind}, asks boolean, vec array<double>")
     spark = vectors.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), CURVES)
 
@@ -114,18 +156,21 @@ def search(vectors: DataFrame, is_query) -> DataFrame:
             yield batch.append_column("at", pa.array(np.arange(n, n + batch.num_rows)))
             n += batch.num_rows
 
-    ordered = curves.repartitionByRange(parts, "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-    ordered = ordered.mapInArrow(counted, f"curve int, key bigint, vec_id {kind}, asks boolean, vec array<double>, at bigint").withColumn("part", F.spark_partition_id())
+    order = ["dim", "curve", "key", "vec_id"]
+    ordered = curves.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = ordered.mapInArrow(counted, f"dim int, curve int, key bigint, vec_id {kind}, asks boolean, vec array<double>, at bigint").withColumn("part", F.spark_partition_id())
     ordered = stage(ordered, "curves")
     held = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = held.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row for each partition
-    ranked = ordered.join(before, "part").withColumn("rank", F.col("before") + F.col("at") - F.col("curve") * F.lit(total))
-    half = max(int(total * WINDOW_SHARE / 2), WINDOW_LEAST // 2)
+    own = spark.createDataFrame([(d, f.total, f.first, max(int(f.total * WINDOW_SHARE / 2), WINDOW_LEAST // 2), max(1, -(-f.asks // PART))) for d, f in facts.items()],
+                                "dim int, total bigint, first bigint, half bigint, parts int")  # one row for each length
+    ranked = ordered.join(before, "part").join(own, "dim").withColumn("rank", F.col("before") + F.col("at") - F.col("first") - F.col("curve") * F.col("total"))
     block = lambda r: F.floor(r / BLOCK)
-    cands = ranked.select("curve", block(F.col("rank")).alias("block"), F.lit(0).alias("side"), "vec_id", "vec")
-    reach = F.sequence(block(F.greatest(F.col("rank") - half, F.lit(0))), block(F.least(F.col("rank") + half, F.lit(total - 1))))
-    asked = ranked.filter("asks").select("curve", F.explode(reach).alias("block"), F.lit(1).alias("side"), "vec_id", "vec")
-    found = map_groups(cands.union(asked), ["curve", "block"], ["side", "vec_id", "vec"], _nearest, f"query_id {kind}, vec_id {kind}, score double")
+    split = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    cands = ranked.select("dim", "curve", block(F.col("rank")).alias("block"), split.alias("share"), F.lit(0).alias("side"), "vec_id", "vec")
+    reach = F.sequence(block(F.greatest(F.col("rank") - F.col("half"), F.lit(0))), block(F.least(F.col("rank") + F.col("half"), F.col("total") - 1)))
+    asked = ranked.filter("asks").select("dim", "curve", F.explode(reach).alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("share"), F.lit(1).alias("side"), "vec_id", "vec")
+    found = map_groups(cands.union(asked), ["dim", "curve", "block", "share"], ["side", "vec_id", "vec"], _nearest, f"query_id {kind}, vec_id {kind}, score double")
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return merged.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= NEIGHBOURS).select("query_id", "rank", "vec_id", "score")
