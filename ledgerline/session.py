@@ -1,13 +1,16 @@
 """Session set-up and the shared staging area for intermediate tables."""
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 # Worth setting when a session is created: call-site capture doubles the time spent building large plans.
 STATIC_OPTIONS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
@@ -30,11 +33,40 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def _importable(spark: SparkSession) -> None:
-    """Let Python workers on machines that have this folder import the package, whatever the driver's working directory."""
-    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    """Let Python workers import the package: from its folder on this machine, and from a copy that Spark sends to executors elsewhere."""
+    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+        context.environment["PYTHONPATH"] = os.pathsep.join([*known, root])
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared and not _in_one_process(context) and context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        place = f"{shared.rstrip('/')}/ledgerline/{context.applicationId}-code/ledgerline-code.zip"
+        _write(spark, place, _zipped(os.path.dirname(os.path.abspath(__file__)), root))
+        context.addPyFile(place)
+
+
+def _in_one_process(context) -> bool:
+    return context.master == "local" or context.master.startswith("local[")
+
+
+def _zipped(package: str, root: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in sorted(os.walk(package)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    return out.getvalue()
+
+
+def _write(spark: SparkSession, path: str, data: bytes) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
 
 
 def staging_root(spark: SparkSession) -> str:
