@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fixed
 from ledgerline.functions import scalars as S
-from ledgerline.operators import filters, jobs
+from ledgerline.operators import filters, jobs, paging
 from ledgerline.queries.base import Tables, check
 from ledgerline.settings import Settings
 
@@ -293,3 +293,17 @@ def rate_revisions(t: Tables) -> DataFrame:
 def middle_date(t: Tables) -> DataFrame:
     m = filters.middle_date(t.events.select(F.to_date("ts").alias("date")))
     return m.select(*[F.col(c).cast("string").alias(c) for c in ("first", "last", "middle")])
+
+
+@check("deep_pages", """with r as (select *, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 as k from lineitem), n as (select count(*) as n from lineitem)
+select l_orderkey as id, l_linenumber as line, l_partkey as part, k // 12 as page from r, n where k // 12 in (0, 7, n // 24, (n - 1) // 12)""")
+def deep_pages(t: Tables) -> DataFrame:
+    """The first, an early, a middle and the last page of a table in order of price."""
+    order = [F.col("l_extendedprice").desc(), *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")]]
+    table = paging.ranked(t.lineitem, *order, parts=64)
+    pages = sorted({0, 7, table.count // 24, max(table.count - 1, 0) // 12})
+    out = None
+    for k in pages:
+        page = table.page(k, 12).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.lit(k).cast("bigint").alias("page"))
+        out = page if out is None else out.unionByName(page)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerline import fixed
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as X
+from ledgerline.operators import text_search
 from ledgerline.queries.base import Tables, check
 
 
@@ -201,3 +202,14 @@ def serial_minutes(t: Tables) -> DataFrame:
     serial = F.unix_timestamp(base) / 86400 + 25569 + (F.col("o_orderkey") * 37 % 86400) / 86400
     m = S.minutes_between(base, F.timestamp_seconds(F.unix_timestamp(base) + F.col("o_orderkey") % 5000 * 60))
     return t.orders.select("o_orderkey", F.date_format(S.excel_serial_to_ts(serial), "yyyy-MM-dd HH:mm:ss").alias("ts"), m.alias("minutes"), S.fmt_minutes(m).alias("text"))
+
+
+@check("indexed_search", """select w, page_id as id from pages, (values ('.org/en/'), ('/FR/'), ('#t'), ('no such text')) v(w) where contains(lower(url), lower(w))""")
+def indexed_search(t: Tables) -> DataFrame:
+    """Parts of addresses looked up through trigram filters."""
+    index = text_search.indexed(t.pages.select("page_id", "url"), ["url"], [F.col("url"), F.col("page_id")], parts=16)
+    out = None
+    for word in (".org/en/", "/FR/", "#t", "no such text"):
+        found = index.search(word).select(F.lit(word).alias("w"), F.col("page_id").alias("id"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -1,5 +1,6 @@
 """Rule tables, renormalising by fingerprint and link history on small tables."""
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,32 @@ def test_link_history_is_closed_open(spark):
     now = {r.link_id: (r.url, r.backup_url, r.last_status) for r in link_history.links_written_back(links, changes).collect()}
     assert now == {"l1": ("u3", "b1", "UNKNOWN"), "l2": ("v0", "b2", "DOWN"), "l3": ("w0", None, "UP")}
     assert link_history.link_history(links.limit(0), changes).count() == 0 and link_history.links_at(links, changes.limit(0), inc.filter(F.col("incident_id") == 1), "detected_at").collect()[0].url == "u0"
+
+
+def test_deep_pages_read_their_partitions_only(spark):
+    from ledgerline.operators.paging import ranked
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 9).alias("g"))
+    table = ranked(df, F.col("g").desc_nulls_last(), F.col("k"), parts=16)
+    want = [tuple(r) for r in df.orderBy(F.col("g").desc_nulls_last(), "k").collect()]
+    assert table.count == 1000
+    for size in (1, 12, 400):
+        for n in {0, 1, 5, 999 // size, 1000 // size, 2000}:
+            assert [tuple(r) for r in table.page(n, size).collect()] == want[n * size:(n + 1) * size]
+    assert all(len(table.parts_of(12 * n, 12 * n + 12)) <= 2 for n in range(80)) and len(table.parts) > 8
+    assert re.search(r"PartitionFilters: \[[^\]]*__part", table.page(40, 12)._jdf.queryExecution().toString())
+    assert ranked(df.limit(0), F.col("k")).page(0, 5).count() == 0
+
+
+def test_search_opens_parts_that_can_match(spark):
+    from ledgerline.operators.text_search import indexed
+
+    rows = [(i, f"https://site{i // 50}.example/Page-{i}", "note ÄÖ é" if i == 77 else None) for i in range(1000)] + [(1000, None, ""), (1001, "ab", "x")]
+    index = indexed(spark.createDataFrame(rows, "id int, url string, note string"), ["url", "note"], [F.col("url")], parts=20)
+    for word in ("SITE7.", "page-123", "äö", "é", "ab", "", "nowhere", "te ÄÖ"):
+        want = sorted(i for i, u, n in rows if not word or any(word.lower() in (x or "").lower() for x in (u, n)))
+        assert sorted(r.id for r in index.search(word).collect()) == want, word
+    assert index.parts_for("nowhere") == [] and index.parts_for("ab") is None
+    assert 1 <= len(index.parts_for("site7.")) <= 4 and len(index.parts_for("example")) > 15
+    assert re.search(r"PartitionFilters: \[[^\]]*__part", index.search("site7.")._jdf.queryExecution().toString())
+    assert indexed(spark.createDataFrame([], "id int, url string"), ["url"]).search("abc").count() == 0
