@@ -130,6 +130,32 @@ def report_files(t: Tables) -> DataFrame:
     return out
 
 
+@check("report_files_others", """with l as (select *, cast(l_shipdate as date) as d from lineitem), h as (select l_linenumber as hour, count(*) filter (where l_returnflag='R') as matched, count(*) as total from l group by 1),
+o as (select strftime(cast(o_orderdate as date), '%Y-%m') as ym, count(*) as n from orders group by 1)
+select 'daily' as name, count(*) as n, cast(sum(round(round(matched*100.0/total, 2)*100)) as bigint) as total from h
+union all select 'monthly', count(*), cast(sum(n) as bigint) from o where ym between '1995-01' and '1996-12'
+union all select 'intake', count(distinct o_orderpriority), count(*) from orders
+union all select 'audit', count(*), cast(sum(l_partkey) as bigint) from l where d between date '1995-01-01' and date '1996-12-31'""")
+def report_files_others(t: Tables) -> DataFrame:
+    """The other four report datasets, each with rows, as CSV files, read back."""
+    ex = cases(t).withColumns({c: F.lit(None).cast("string") for c in ("time", "member", "detail")} | {c: F.lit(0) for c in ("system_amount", "bank_amount", "amount_diff", "time_diff_sec", "sla_hours")})
+    lost = damages(t).withColumns({"id": F.lit(0), "exception_id": F.lit("e"), "company": F.lit("C")})
+    hourly = t.lineitem.groupBy(F.col("l_linenumber").alias("hour")).agg(F.count_if(F.col("l_returnflag") == "R").alias("matched"), F.count(F.lit(1)).alias("total"))
+    monthly = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym")).agg(F.count(F.lit(1)).alias("n"))
+    intake = t.orders.groupBy(F.col("o_orderpriority").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    log = t.lineitem.select(F.col("l_shipdate").cast("timestamp").alias("at"), F.concat(F.lit('a "quoted", '), "l_returnflag").alias("who"), F.col("l_partkey").alias("part"))
+    made = sinks.report_tables(ex, lost, ex.select("employee").distinct(), hourly, monthly, intake, log, "1995-01-01", "1996-12-31")
+    folder = staging_path(t.spark, "reports")
+    names = {"daily": F.round(F.col("match_pct").cast("double") * 100), "monthly": F.col("n"), "intake": F.col("n"), "audit": F.col("part")}
+    sinks.write_reports({k: made[k] for k in names}, folder)
+    out = None
+    for name, value in names.items():
+        back = t.spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"{folder}/reports/{name}")
+        row = back.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(value.cast("bigint")).alias("total"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @check("file_deltas", """with n as (select cast(ts as date) as d, count(*) as n from events group by 1)
 select strftime(d,'%Y-%m-%d') as day, n as total, greatest(0, n - coalesce(lag(n) over (order by d), n)) as delta from n""")
 def file_deltas(t: Tables) -> DataFrame:
