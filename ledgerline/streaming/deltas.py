@@ -1,19 +1,20 @@
 """File completeness kept as sums of signed changes.
 
-Each file (by storage path) keeps its newest version as keyed state.  A newer version gives a row of minus one for the share of the
+The newest version of each file (by storage path) is kept in a table.  A newer version gives a row of minus one for the share of the
 old one and of plus one for its own, so a file that moves to another mail, changes kind or gets parsed undoes what it counted
-before; an older version that comes late gives nothing.  Sums of these rows by mail, company and kind are the table: no micro-batch
-reads a day, a mail or a file again.  Mails are joined when the sums are read, so a file may come before its mail and a mail may move.
+before; an older version that comes late gives nothing.  Sums of these rows by mail, company and kind are the result: no micro-batch
+sums a day, a mail or a file again.  One join compares a micro-batch with the versions known; a state store would be asked, and would
+call Python, once for each file.  Mails are joined when the sums are read, so a file may come before its mail and a mail may move.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
+from pyspark.sql.streaming import DataStreamWriter
 
 from ledgerline.functions import text as X
 from ledgerline.operators.jobs import KEY
-from ledgerline.streaming.epochs import compact, read_epochs, write_epoch
+from ledgerline.streaming.epochs import compact, read_epoch, read_epochs, write_epoch
 
 _SHARE = ["batch_id", "company", "kind", "parsed", "failed"]
 _COUNTS = ["files", "parsed", "errors"]
@@ -21,43 +22,34 @@ _COUNTS = ["files", "parsed", "errors"]
 FOLD_EVERY = 16
 
 
-class _Newest(StatefulProcessor):
-    """State of a file: when its newest version came, and what that one counts for."""
+def _versions_schema(batch_type: str) -> str:
+    version = f"struct<at: bigint, batch_id: {batch_type}, company: string, kind: string, parsed: boolean, failed: boolean>"
+    return f"storage_path string, now {version}, was {version}"
 
-    def __init__(self, batch_type: str):
-        self.batch_type = batch_type
 
-    def init(self, handle) -> None:
-        self.newest = handle.getValueState("newest", f"at bigint, batch_id {self.batch_type}, company string, kind string, parsed boolean, failed boolean")
+def _newest(versions: DataFrame) -> DataFrame:
+    """Newest version of each file; of equal times the larger share, and missing values are smallest."""
+    return versions.groupBy("storage_path").agg(F.max("now").alias("now"))
 
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        order = lambda v: (v[0] is not None, v[0], *((x is not None, x) for x in v[1:]))
-        held = self.newest.get()
-        newest = tuple(held) if held is not None else None
-        before = newest
-        for row in rows:
-            version = (row["at"], *(row[c] for c in _SHARE))
-            if newest is None or order(version) > order(newest):
-                newest = version
-        if newest == before:
-            return
-        self.newest.update(newest)
-        if before is not None:
-            yield Row(**dict(zip(_SHARE, before[1:])), sign=-1)
-        yield Row(**dict(zip(_SHARE, newest[1:])), sign=1)
 
-    def close(self) -> None:
-        pass
+def _kept(versions: DataFrame) -> DataFrame:
+    return _newest(versions).withColumn("was", F.lit(None).cast(versions.schema["was"].dataType))
 
 
-def file_deltas(files: DataFrame) -> DataFrame:
-    """Signed shares of a stream of file versions (storage_path, ingested_at, batch_id, company, file_name, kind, parsed, parse_error)."""
-    files.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    kind = dict(files.dtypes)["batch_id"]
-    share = files.filter("storage_path is not null").select(
-        "storage_path", F.unix_micros("ingested_at").alias("at"), "batch_id", "company", X.effective_kind("file_name", "kind").alias("kind"),
-        F.coalesce("parsed", F.lit(False)).alias("parsed"), F.col("parse_error").isNotNull().alias("failed"))
-    return share.groupBy("storage_path").transformWithState(_Newest(kind), f"batch_id {kind}, company string, kind string, parsed boolean, failed boolean, sign int", "Update", "None")
+def newer_versions(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files of a micro-batch (storage_path, ingested_at, batch_id, company, file_name, kind, parsed, parse_error) whose version is newer
+    than the one in ``known``: the version ``now`` and the one it replaces, ``was``."""
+    version = files.filter("storage_path is not null").select("storage_path", F.struct(
+        F.unix_micros("ingested_at").alias("at"), "batch_id", "company", X.effective_kind("file_name", "kind").alias("kind"),
+        F.coalesce("parsed", F.lit(False)).alias("parsed"), F.col("parse_error").isNotNull().alias("failed")).alias("now"))
+    held = _newest(known).withColumnRenamed("now", "was")
+    return _newest(version).join(held, "storage_path", "left").filter("was is null or now > was")
+
+
+def signed_shares(versions: DataFrame) -> DataFrame:
+    """One row of minus one for the share of each version replaced, and one of plus one for that which replaces it."""
+    signs = F.explode(F.array(F.struct(F.col("was").alias("v"), F.lit(-1).alias("sign")), F.struct(F.col("now").alias("v"), F.lit(1).alias("sign"))))
+    return versions.select(signs.alias("c")).filter("c.v is not null").select(*[f"c.v.{c}" for c in _SHARE], "c.sign")
 
 
 def _sums(changes: DataFrame) -> DataFrame:
@@ -70,17 +62,26 @@ def schema_of(batch_type: str = "string") -> str:
 
 
 def completeness_deltas(files: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the sums below ``folder`` current; old epochs are folded every :data:`FOLD_EVERY` micro-batches."""
-    schema = schema_of(dict(files.dtypes)["batch_id"])
+    """Keep the sums below ``folder`` current; old epochs are folded every :data:`FOLD_EVERY` micro-batches.
+
+    The newest versions are kept beside Spark's own files below ``checkpoint``, again by epoch: a repeated micro-batch is compared with
+    the epochs before it and rewrites its own.
+    """
+    kind = dict(files.dtypes)["batch_id"]
+    schema, versions, held = schema_of(kind), _versions_schema(kind), f"{checkpoint}/newest"
 
     def step(batch: DataFrame, epoch: int) -> None:
-        signed = batch.select("batch_id", "company", "kind", F.col("sign").alias("files"), (F.col("sign") * F.col("parsed").cast("int")).alias("parsed"),
-                              (F.col("sign") * F.col("failed").cast("int")).alias("errors"))
+        spark = batch.sparkSession
+        write_epoch(newer_versions(batch, read_epochs(spark, held, versions, epoch)), held, epoch)
+        changes = signed_shares(read_epoch(spark, held, versions, epoch))
+        signed = changes.select("batch_id", "company", "kind", F.col("sign").alias("files"), (F.col("sign") * F.col("parsed").cast("int")).alias("parsed"),
+                                (F.col("sign") * F.col("failed").cast("int")).alias("errors"))
         write_epoch(_sums(signed), folder, epoch)
         if epoch and epoch % FOLD_EVERY == 0:
-            compact(batch.sparkSession, folder, schema, _sums, epoch - 1)
+            compact(spark, folder, schema, _sums, epoch - 1)
+            compact(spark, held, versions, _kept, epoch - 1)
 
-    return file_deltas(files).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
 def completeness_so_far(spark: SparkSession, folder: str, batches: DataFrame) -> DataFrame:

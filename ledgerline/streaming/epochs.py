@@ -38,9 +38,17 @@ def _live(spark: SparkSession, folder: str) -> tuple[int, list[str]]:
     return upto, ([f"{folder}/base={upto}"] if marks else []) + [f"{folder}/epoch={n}" for n in _numbers(spark, folder, "epoch") if n > upto]
 
 
-def read_epochs(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """All rows written so far; an empty table if there are none."""
+def read_epoch(spark: SparkSession, folder: str, schema: str, epoch: int) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/epoch={epoch}")
+
+
+def read_epochs(spark: SparkSession, folder: str, schema: str, before: int | None = None) -> DataFrame:
+    """All rows written so far, or by the epochs ``before`` one that is not in the base; an empty table if there are none."""
     _, paths = _live(spark, folder)
+    if before is not None:
+        paths = [p for p in paths if not p.startswith(f"{folder}/epoch=") or int(p.rsplit("=", 1)[1]) < before]
+        if not paths:
+            return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*paths) if paths else read_table(spark, folder, schema)
 
 

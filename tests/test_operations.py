@@ -7,7 +7,7 @@ from ledgerline.operators import incidents, jobs, registry
 from ledgerline.plans.reconcile import reconcile
 from ledgerline.sources import sinks
 from ledgerline.streaming.ingest import completeness_stream
-from ledgerline.streaming.deltas import completeness_deltas, completeness_so_far
+from ledgerline.streaming.deltas import _versions_schema, completeness_deltas, completeness_so_far, newer_versions, signed_shares
 from ledgerline.streaming.epochs import compact, read_epochs, write_epoch
 from ledgerline.streaming.probes import PART_SECONDS, incidents_so_far, probe_incidents_stream
 from tests.test_matching import CFG, rows
@@ -127,6 +127,25 @@ def test_signed_changes_equal_the_newest_versions(spark, tmp_path):
     assert sorted(map(str, completeness_so_far(spark, out, batches).select(*jobs.job_completeness(batches, newest).columns).collect())) == want and len(want) > 4
 
 
+def test_signed_changes_ask_no_state_for_each_file(spark, tmp_path, monkeypatch):
+    """Micro-batches of many files are compared with the known versions in a join, and folding leaves the sums as they are."""
+    monkeypatch.setattr("ledgerline.streaming.deltas.FOLD_EVERY", 3)
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    file = lambda p, v, mail: (mail, f"f{p}", "stm.pdf", "unknown", v % 2 == 0, None, "C", f"p{p}", T(2026, 8, 1, v))
+    mails = spark.createDataFrame([("a", dt.date(2026, 8, 1), "C", None), ("b", dt.date(2026, 8, 2), "C", None)], BATCH)
+    counts = lambda: {r.business_date.day: (r.file_count, r.parsed_count) for r in completeness_so_far(spark, out, mails).collect()}
+    for v in range(5):  # each version moves every file to the other mail
+        spark.createDataFrame([file(p, v, "ab"[v % 2]) for p in range(40)], FILE).coalesce(1).write.mode("append").parquet(src)
+        query = completeness_deltas(spark.readStream.schema(FILE).parquet(src), out, ck).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert not any(p["stateOperators"] for p in query.recentProgress)
+        if v in (0, 1, 4):
+            assert counts() == ({1: (40, 40)} if v % 2 == 0 else {2: (40, 0)})
+    assert (tmp_path / "ck" / "newest" / "markers" / "upto=2").exists()
+    old = newer_versions(spark.createDataFrame([file(1, 3, "b"), file(2, 4, "c"), file(99, 0, "a")], FILE), read_epochs(spark, f"{ck}/newest", _versions_schema("string")))
+    assert sorted(map(tuple, signed_shares(old).select("batch_id", "sign").collect())) == [("a", -1), ("a", 1), ("c", 1)]
+
+
 def test_epochs_are_folded_behind_a_marker(spark, tmp_path):
     folder, schema = str(tmp_path / "t"), "k string, n bigint"
     fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n")).filter("k <> 'old'")
