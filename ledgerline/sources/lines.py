@@ -1,7 +1,7 @@
 """Statement text: lines of text files or positioned fragments."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -23,19 +23,18 @@ def group_fragments(fragments: DataFrame) -> DataFrame:
     """Positioned fragments (doc_id, page_no, x, y, s) to lines.
 
     From the top down, a y within two units of its line's first y belongs to that line, any other opens one; fragments go left to
-    right.  The fold runs over the distinct y of a page, which its height bounds.
+    right.  A gap of more than two units opens a line whatever came before, so the fold runs over the distinct y between two such gaps
+    only; the lines of a page are numbered in a window over its distinct y, which its height bounds.
     """
     page = ["doc_id", "page_no"]
     rounded = fragments.withColumn("y", F.round("y").cast("int")).withColumn("x", F.round("x").cast("int"))
-    ys = rounded.groupBy(*page).agg(F.sort_array(F.collect_set("y"), asc=False).alias("ys"))
-    entry = "array<struct<y: int, top: int, line_no: int>>"
-
-    def place(lines, y):
-        last = F.try_element_at(lines, F.lit(-1))
-        same = last.isNotNull() & (last["top"] - y <= 2)
-        return F.concat(lines, F.array(F.struct(y.alias("y"), F.when(same, last["top"]).otherwise(y).alias("top"), F.when(same, last["line_no"]).otherwise(F.coalesce(last["line_no"] + 1, F.lit(0))).alias("line_no"))))
-
-    at = ys.select(*page, F.explode(F.aggregate("ys", F.array().cast(entry), place)).alias("at")).select(*page, "at.y", "at.line_no")
+    down = Window.partitionBy(*page).orderBy(F.desc("y"))
+    ys = rounded.select(*page, "y").distinct().withColumn("gap", F.coalesce(F.lag("y").over(down) - F.col("y") > 2, F.lit(True)))
+    ys = ys.withColumn("run", F.sum(F.col("gap").cast("int")).over(down))
+    near = F.sort_array(F.collect_set("y").over(Window.partitionBy(*page, "run")), asc=False)
+    top = F.aggregate("near", F.lit(None).cast("int"), lambda top, y: F.when(y < F.col("y"), top).when(top - y <= 2, top).otherwise(y))
+    ys = ys.withColumn("near", near).withColumn("top", top)
+    at = ys.select(*page, "y", (F.dense_rank().over(Window.partitionBy(*page).orderBy(F.desc("top"))) - 1).alias("line_no"))
     lines = rounded.join(at, [*page, "y"]).groupBy(*page, "line_no").agg(
         F.array_sort(F.collect_list(F.struct("x", (-F.col("y")).alias("down"), "s"))).alias("parts"))
     items = F.transform("parts", lambda p: p["s"])

@@ -131,6 +131,27 @@ def test_fragments_fold_on_the_first_y(spark):
     assert [(r.line_no, r.text) for r in group_fragments(f).orderBy("line_no").collect()] == [(0, "a b"), (1, "c d")]
 
 
+def test_fragments_of_a_very_long_page(spark):
+    """The fold costs nothing that grows with the square of the page, and equals serving one y after the other."""
+    import random
+    import time
+    rnd = random.Random(6)
+    ys, y = [], 10_000_000
+    for _ in range(400):
+        y -= rnd.choice([1, 1, 2, 2, 3, 5])
+        ys.append(y)
+    want, top, line = [], None, -1
+    for y in ys:
+        if top is None or top - y > 2:
+            top, line = y, line + 1
+        want.append((line, str(y)))
+    near = spark.createDataFrame([("d", 0, 0.0, float(y), str(y)) for y in rnd.sample(ys, len(ys))], "doc_id string, page_no int, x double, y double, s string")
+    assert [(r.line_no, w) for r in group_fragments(near).orderBy("line_no").collect() for w in r.items] == want
+    far = spark.range(60_000).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page_no"), F.lit(0).alias("x"), (-3 * F.col("id")).alias("y"), F.lit("a").alias("s"))
+    began = time.time()
+    assert group_fragments(far).agg(F.max("line_no")).first()[0] == 59_999 and time.time() - began < 60
+
+
 def test_text_file(spark, tmp_path):
     (tmp_path / "s.txt").write_text("one  two\n\nthree\fpage two", encoding="utf-8")
     assert [(r.page_no, r.line_no, r.text) for r in read_text_lines(spark, str(tmp_path)).orderBy("page_no", "line_no").collect()] == [
