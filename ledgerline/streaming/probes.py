@@ -1,6 +1,7 @@
 """Streaming probes: incidents from status changes and windowed counts; late and repeated probes end where they belong."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
@@ -17,24 +18,32 @@ _COUNTS = "start timestamp, status string, n bigint"
 _RUNS = "link_id string, part bigint, seen bigint, runs array<struct<at: bigint, probe_id: bigint, status: string>>"
 
 
+#: A probe as kept in state.
+_PROBE = np.dtype([("at", "<i8"), ("probe_id", "<i8"), ("up", "?")])
+
+
 class _Runs(StatefulProcessor):
-    """State of one part of a link: each of its probes by (time, id).  New probes give the part's runs of equal status anew."""
+    """State of one part of a link: its probes by (time, id), in one value, so that a micro-batch reads and writes it once however
+    many probes it brings.  New probes give the part's runs of equal status anew."""
 
     def init(self, handle) -> None:
-        self.probes = handle.getMapState("probes", "at bigint, probe_id bigint", "status string")
+        self.probes = handle.getValueState("probes", "packed binary")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        fresh = False
-        for row in rows:
-            place = (row["at"], row["probe_id"])
-            if not self.probes.containsKey(place):
-                self.probes.updateValue(place, (row["status"],))
-                fresh = True
-        if not fresh:
+        held = self.probes.get()
+        known = np.frombuffer(bytes(held[0]), _PROBE) if held is not None else np.empty(0, _PROBE)
+        came = np.array([(row["at"], row["probe_id"], row["status"] == "UP") for row in rows], _PROBE)
+        both = np.concatenate([known, came])
+        both = both[np.lexsort((np.arange(len(both)), both["probe_id"], both["at"]))]  # of a probe that comes again the first counts
+        first = np.ones(len(both), bool)
+        first[1:] = (both["at"][1:] != both["at"][:-1]) | (both["probe_id"][1:] != both["probe_id"][:-1])
+        seen = both[first]
+        if len(seen) == len(known):
             return
-        seen = sorted((at[0], at[1], value[0]) for at, value in self.probes.iterator())
-        runs = [p for i, p in enumerate(seen) if not i or p[2] != seen[i - 1][2]]
-        yield Row(link_id=key[0], part=key[1], seen=len(seen), runs=[Row(at=a, probe_id=b, status=c) for a, b, c in runs])
+        self.probes.update((seen.tobytes(),))
+        change = np.ones(len(seen), bool)
+        change[1:] = seen["up"][1:] != seen["up"][:-1]
+        yield Row(link_id=key[0], part=key[1], seen=len(seen), runs=[Row(at=a, probe_id=b, status="UP" if up else "DOWN") for a, b, up in seen[change].tolist()])
 
     def close(self) -> None:
         pass

@@ -3,13 +3,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions import text as X
 from ledgerline.operators import incidents, jobs, registry
 from ledgerline.plans.reconcile import reconcile
 from ledgerline.sources import sinks
 from ledgerline.streaming.ingest import completeness_stream
 from ledgerline.streaming.deltas import _versions_schema, completeness_deltas, completeness_so_far, newer_versions, signed_shares
 from ledgerline.streaming.epochs import compact, read_epochs, write_epoch
-from ledgerline.streaming.probes import PART_SECONDS, incidents_so_far, probe_incidents_stream
+from ledgerline.streaming.probes import PART_SECONDS, _Runs, incidents_so_far, probe_incidents_stream
 from tests.test_matching import CFG, rows
 
 T = dt.datetime
@@ -127,6 +128,62 @@ def test_signed_changes_equal_the_newest_versions(spark, tmp_path):
     assert sorted(map(str, completeness_so_far(spark, out, batches).select(*jobs.job_completeness(batches, newest).columns).collect())) == want and len(want) > 4
 
 
+def test_state_of_probes_is_read_and_written_once_a_batch():
+    class Value:
+        calls, held = 0, None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls += 1
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.value = Value()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.value
+
+    runs, handle = _Runs(), Handle()
+    runs.init(handle)
+    probe = lambda at, i, status: {"at": at, "probe_id": i, "status": status}
+    push = lambda rows: [(r.seen, [tuple(x) for x in r.runs]) for r in runs.handleInputRows(("a", 7), iter(rows), None)]
+    assert push([probe(k, k, "UP") for k in range(500)]) == [(500, [(0, 0, "UP")])] and handle.value.calls == 2
+    assert push([probe(3, 3, "DOWN"), probe(-2, 900, "DOWN"), probe(3, 4, "DOWN"), probe(3, 4, "UP")]) == [(502, [(-2, 900, "DOWN"), (0, 0, "UP"), (3, 4, "DOWN"), (4, 4, "UP")])]
+    assert push([probe(3, 3, "DOWN")]) == []
+
+
+def test_common_holder_words_cost_no_row_for_each_account(spark):
+    """Scores, ties and the first account are those of comparing every file with every account."""
+    import random
+    rnd = random.Random(4)
+    words = ["somchai", "somsri", "chai", "yai", "dee", "ngam", "boon", "kaew", "thong", "suk"]
+    owner = [(f"{i:04d}", rnd.choice(["SCB", "KTB"]), "นาย " + " ".join(rnd.choices(words, k=rnd.choice([1, 2, 2, 3, 8]))), "bank", f"S{i % 5}", None, None, i // 2 if i % 9 == 0 else i) for i in range(150)]
+    owner += owner[:3] + [(*owner[4][:2], "นาย dee dee", *owner[4][3:])]
+    accounts_ = spark.createDataFrame(owner, "account string, bank string, name string, source string, subco string, provider string, channel string, ord int")
+    names = [(f"f{i}", f"{rnd.choice(['SCB', 'KTB'])} {' '.join(rnd.choices(words, k=rnd.choice([0, 1, 2, 3, 9])))}.pdf") for i in range(60)]
+    names += [names[0], ("f1", "SCB dee suk.pdf"), ("f2", "KTB yai.pdf")]
+    files = spark.createDataFrame(names, "file_id string, file_name string")
+    f = registry.describe_names(files).filter("provider is null and bank is not null")
+    spelled = accounts_.select("bank", "account", "subco", "ord", F.explode(F.transform(X.name_words("name"), X.name_norm)).alias("word")).filter("length(word) >= 2")
+    scored = f.join(spelled, (f["bank"] == spelled["bank"]) & F.contains("raw", "word")).groupBy("file_id", "account", "subco", "ord").agg(F.count(F.lit(1)).alias("score")).collect()
+    want = {}
+    for name in {r.file_id for r in scored}:
+        mine = [r for r in scored if r.file_id == name]
+        best = max(r.score for r in mine)
+        tied = [r for r in mine if r.score == best]
+        first = min(r.ord for r in tied)
+        want[name] = (best, {r.account for r in tied if r.ord == first}, len(tied), ",".join(sorted({r.account for r in tied})) if len(tied) > 1 else None)
+    got = {r.file_id: r for r in registry._best_holders(f, accounts_.filter("source = 'bank'")).collect()}
+    assert set(got) == set(want) and any(w[2] > 5 for w in want.values())
+    for name, (best, first, ties, tied) in want.items():
+        r = got[name]
+        assert (r.score, r.ties, r.tied) == (best, ties, tied) and r.m.account in first
+
+
 def test_signed_changes_ask_no_state_for_each_file(spark, tmp_path, monkeypatch):
     """Micro-batches of many files are compared with the known versions in a join, and folding leaves the sums as they are."""
     monkeypatch.setattr("ledgerline.streaming.deltas.FOLD_EVERY", 3)
