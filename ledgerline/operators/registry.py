@@ -27,13 +27,67 @@ def describe_names(files: DataFrame) -> DataFrame:
                         X.provider_from_name("file_name").alias("provider"), X.direction_of_name("file_name").alias("direction"))
 
 
+#: Words up to which all sets of an account's or a file's words are looked up.
+SET_WORDS = 6
+
+
+def _sets(words: Column) -> Column:
+    """All non-empty sets of a short sorted array of distinct words."""
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(words)) - 1)
+    return F.transform(masks, lambda m: F.filter(words, lambda _, i: F.getbit(m, i) == 1))
+
+
+def _best_holders(files: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Per file with any holder word in its name: the best score, its first account ``m``, the number of ``ties`` and, if above one, the accounts ``tied``.
+
+    An account scores the words of its own that the name contains, each as often as it has it.  Accounts are summed up by each set of their
+    words: the highest count of words that are in the set, and which accounts reach it.  A file looks up the sets of the words it contains.
+    An account with the best score is found under one set that reaches it, that of all words it shares with the file, so common words
+    cost a file some sets, not a row for each account.  Files and accounts of more than :data:`SET_WORDS` words, and files listed in
+    several ways, meet account by account.
+    """
+    who = ["account", "subco", "ord"]
+    spelled = accounts.select("bank", *who, F.explode(F.transform(X.name_words("name"), X.name_norm)).alias("word")).filter(F.length("word") >= 2)
+    named = files.groupBy("file_id").agg(F.min(F.struct("bank", "raw")).alias("name"), F.max(F.struct("bank", "raw")).alias("other"), F.count(F.lit(1)).alias("copies"))
+    one = named.filter("name = other").select("file_id", "name.bank", "name.raw", "copies")
+    held = _parts(one, spelled.select("bank", "word").distinct(), "bank", "word").join(spelled.select("bank", "word").distinct(), ["bank", "word"])
+    held = held.groupBy("file_id", "bank").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    few = F.size("words") <= SET_WORDS
+
+    owners = spelled.groupBy("bank", *who).agg(F.collect_list("word").alias("all")).withColumn("words", F.array_sort(F.array_distinct("all")))
+    reach = F.size(F.filter("all", lambda w: F.array_contains("set", w)))
+    keys = owners.filter(few).withColumn("set", F.explode(_sets(F.col("words")))).withColumn("reach", reach)
+    most = keys.groupBy("bank", "set", "reach").agg(F.count(F.lit(1)).alias("ties"), F.min("ord").alias("ord"), F.min_by(F.struct("account", "subco"), "ord").alias("m"))
+    most = most.groupBy("bank", "set").agg(F.max_by(F.struct("reach", "ties", "ord", "m"), "reach").alias("k"))
+    found = held.filter(few).withColumn("set", F.explode(_sets(F.col("words")))).join(most, ["bank", "set"]).join(one.select("file_id", "copies"), "file_id")
+    found = found.select("file_id", (F.col("k.reach") * F.col("copies")).alias("score"), "k.ord", "k.m", "k.ties", F.struct("bank", "set", "k.reach").alias("place"))
+
+    long = owners.filter(~few).select("bank", *who, F.explode("all").alias("word"))
+    several = files.join(named.filter("name <> other").select("file_id"), "file_id", "left_semi").select("file_id", "bank", "raw")
+    # A file that meets all accounts one by one: many words, or several names; others meet the long accounts only.
+    apart = (_parts(several, spelled, "bank", "word").join(spelled, ["bank", "word"])
+             .unionByName(held.filter(~few).join(one.select("file_id", "copies"), "file_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+                          .select("file_id", "bank", F.explode("words").alias("word")).join(spelled, ["bank", "word"]))
+             .unionByName(held.filter(few).join(one.select("file_id", "copies"), "file_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+                          .select("file_id", "bank", F.explode("words").alias("word")).join(long, ["bank", "word"])))
+    apart = apart.groupBy("file_id", *who).agg(F.count(F.lit(1)).alias("score"))
+    single = apart.select("file_id", "score", "ord", F.struct("account", "subco").alias("m"), F.lit(1).cast("bigint").alias("ties"), F.lit(None).cast(found.schema["place"].dataType).alias("place"))
+    best = found.unionByName(single).groupBy("file_id", "score").agg(F.min_by("m", "ord").alias("m"), F.sum("ties").alias("ties"), F.collect_list("place").alias("places"))
+    best = best.groupBy("file_id").agg(F.max_by(F.struct("score", "m", "ties", "places"), "score").alias("t")).select("file_id", "t.*")
+    shared = best.filter("ties > 1")
+    tied = (shared.select("file_id", F.inline("places")).join(keys, ["bank", "set", "reach"]).select("file_id", "account")
+            .unionByName(apart.join(shared.select("file_id", "score"), ["file_id", "score"]).select("file_id", "account")))
+    tied = tied.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("account")), ",").alias("tied"))
+    return best.drop("places").join(tied, "file_id", "left")
+
+
 def match_files(files: DataFrame, accounts: DataFrame) -> DataFrame:
     """The registry row a file name points to, or the reason why there is none.
 
     A gateway file needs the provider and a sub-company: contained in the name, else its short form (trailing digits
     dropped) as a whole word if that is unique.  A bank file scores registry rows by the holder words its name contains;
     ties are reported and go to the first row of the registry, whose order is ``ord``.  A name is cut into its parts of the lengths
-    that registry words have, and parts and words meet in an equi-join, so only real containments become rows.
+    that registry words have, and parts and words meet in an equi-join, so only real containments become rows, one for each word.
     """
     f = describe_names(files)
     if "ord" not in accounts.columns:
@@ -54,16 +108,8 @@ def match_files(files: DataFrame, accounts: DataFrame) -> DataFrame:
         F.when(F.col("m").isNotNull(), "pm").alias("source"), F.when(F.col("m").isNotNull(), 2).alias("score"),
         F.when(F.col("m").isNull(), F.col("choices")).alias("ambiguous"), F.when(F.col("m").isNull(), fixed.REASON_PM_NO_SUBCO).alias("reason")))
 
-    bank = accounts.filter("source = 'bank'").select(
-        "bank", "account", "subco", "provider", "ord", F.posexplode(F.transform(X.name_words("name"), X.name_norm)).alias("at", "word"))
     bank_files = f.filter("provider is null and bank is not null")
-    bank = bank.filter(F.length("word") >= 2)
-    scored = (_parts(bank_files, bank, "bank", "word").join(bank, ["bank", "word"])
-              .groupBy("file_id", "account", "subco", "ord").agg(F.count(F.lit(1)).alias("score")))
-    best = scored.groupBy("file_id").agg(F.max("score").alias("score"))
-    top = (scored.join(best, ["file_id", "score"]).groupBy("file_id", "score").agg(
-        F.min_by(F.struct("account", "subco"), "ord").alias("m"), F.count(F.lit(1)).alias("ties"),
-        F.array_join(F.array_sort(F.collect_set("account")), ",").alias("tied")))
+    top = _best_holders(bank_files, accounts.filter("source = 'bank'"))
     bank_out = bank_files.join(top, "file_id", "left").select(
         "file_id", "direction", F.col("m.subco").alias("subco"), F.lit(None).cast("string").alias("match_provider"), F.lit(None).cast("string").alias("channel"),
         F.when(F.col("m").isNotNull(), F.col("bank")).alias("match_bank"), F.col("m.account").alias("account"),
