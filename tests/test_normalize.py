@@ -177,3 +177,26 @@ def test_files_to_run(spark):
     run = reconcile_files(report, files, lines, docs)
     assert [(r.stm_count, r.bo_count, r.matched) for r in run.summary().collect()] == [(1, 2, 1)]
     assert sorted(r.type for r in run.exceptions.collect()) == ["large_amount", "missing_stm"]
+
+
+def _generic_file(spark, n):
+    head = ["วันที่", "เวลา", "รายการ", "ถอน", "ฝาก", "ยอดคงเหลือ", "เลขที่บัญชี", "ref"]
+    k = F.col("id")
+    body = spark.range(0, n, 1, 8).select(F.lit("g").alias("file_id"), (k + 2).cast("int").alias("row_no"), F.array(
+        F.lit("1/8/2026"), F.lit("10:00:00"), F.lit("X1 IN"), F.lit(""), F.lit("5.00"), F.lit("9.00"), F.lit("SCB-1"), k.cast("string")).alias("cells"))
+    top = spark.range(1).select(F.lit("g").alias("file_id"), F.lit(1).alias("row_no"), F.array(*[F.lit(c) for c in head]).alias("cells"))
+    files = spark.createDataFrame([("g", "scb_stm.csv", 0, dt.date(2026, 8, 1), "C")], "file_id string, file_name string, file_seq int, job_date date, job_company string")
+    return top.unionByName(body), files
+
+
+def test_rows_of_one_file_stay_spread(spark):
+    rows, files = _generic_file(spark, 800)
+    out = reports.normalize_generic(rows, files)
+    assert out.filter("drop_reason is null").count() == 800
+    assert out.select(F.input_file_name()).distinct().count() >= 8  # written by the tasks that read the rows
+    head = spark.range(1).select(F.lit("r").alias("file_id"), F.lit(1).alias("row_no"), F.array(*[F.lit(c) for c in ("วัน/เวลา", "รหัสสมาชิก", "จำนวนเงิน", "สถานะ", "ดำเนินการโดย")]).alias("cells"))
+    body = spark.range(0, 800, 1, 8).select(F.lit("r").alias("file_id"), (F.col("id") + 2).cast("int").alias("row_no"), F.array(*[F.lit(c) for c in ("2026-08-01 10:00:00", "m", "5.00", "ok", "x")]).alias("cells"))
+    out = reports.normalize_reports(head.unionByName(body), files.withColumn("file_id", F.lit("r")))
+    assert out.count() == 800 and out.select(F.input_file_name()).distinct().count() > 2
+
+
