@@ -11,6 +11,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import stage
 from ledgerline.settings import Settings
 
 #: Settings that normalising reports and header-mapped files depends on.
@@ -55,6 +56,7 @@ def renormalize(rows: DataFrame, files: DataFrame, stored: DataFrame | None, nor
         redo = now.withColumn("why", F.lit("new"))
     else:
         redo = changed_files(now, stored.select("file_id", "fingerprint").distinct())
+    redo = stage(redo, "redo")  # one row per file, so that no reader hashes the rows again or moves them to their file
     again = redo.filter("why <> 'gone'").select("file_id", "fingerprint")
     fresh = normalize(rows.join(again, "file_id", "left_semi"), files.join(again, "file_id", "left_semi"), cfg).join(again, "file_id")
     kept = fresh if stored is None else stored.join(redo, "file_id", "left_anti").select(*fresh.columns).unionByName(fresh)

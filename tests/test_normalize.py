@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import reports, statements
 from ledgerline.operators.detect import map_headers
+from ledgerline.operators.renormalize import renormalize
 from ledgerline.plans.files import reconcile_files
 from ledgerline.sources.lines import group_fragments, read_text_lines, split_lines
 from ledgerline.sources.rows import link_groups, read_csv_rows, read_links
@@ -200,3 +201,10 @@ def test_rows_of_one_file_stay_spread(spark):
     assert out.count() == 800 and out.select(F.input_file_name()).distinct().count() > 2
 
 
+def test_files_to_read_again_are_worked_out_once(spark):
+    rows, files = _generic_file(spark, 20)
+    stored, redo, _ = renormalize(rows, files, None, reports.normalize)
+    assert redo.inputFiles() and stored.count() == 20
+    _, redo, _ = renormalize(rows, files, stored, reports.normalize)
+    assert redo.inputFiles() and redo.count() == 0
+
