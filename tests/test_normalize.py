@@ -208,3 +208,21 @@ def test_files_to_read_again_are_worked_out_once(spark):
     _, redo, _ = renormalize(rows, files, stored, reports.normalize)
     assert redo.inputFiles() and redo.count() == 0
 
+
+def test_neighbours_in_one_pass(spark):
+    lines = spark.createDataFrame([(d, 0, n, f"{d}{n}") for d in ("a", None) for n in (1, 2, 4096, 9000)], "doc_id string, page_no int, line_no int, text string")
+    near = statements.with_neighbours(lines)
+    got = [(r.text, r.prev_text, r.next_text) for r in near.filter("doc_id = 'a'").orderBy("line_no").collect()]
+    assert got == [("a1", None, "a2"), ("a2", "a1", "a4096"), ("a4096", "a2", "a9000"), ("a9000", "a4096", None)]
+    assert near.filter("prev_text is null").count() == 2
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 5  # each text moves twice, not four times
+
+
+def test_wallet_lines_keep_their_text(spark):
+    text = "13/02/2025 17:18:19 เงินเข้า 44.00 a\u0001b c 400.00 444.00"
+    lines = spark.createDataFrame([(text,), ("13/02/2025 x\u0001y",)], "text string").withColumn("items", F.split("text", " "))
+    parsed = lines.select(statements.parse_tmn().alias("r"))
+    assert [r.r and (r.r.date, r.r.sec, r.r.code, float(r.r.amount), float(r.r.balance), r.r.descr, r.r.is_fee) for r in parsed.collect()] == [
+        ("2025-02-13", 62299, "เงินเข้า", 44.0, 444.0, "a\u0001b c", False), None]
+    assert parsed._jdf.queryExecution().analyzed().toString().count("regexp_extract(text") == 0  # one match for all groups
