@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from ledgerline.operators import matching
 from ledgerline.operators.matching import pair_rows, with_job
 from ledgerline.plans.reconcile import reconcile
 from ledgerline.schema import TXN, as_txn
@@ -178,3 +179,23 @@ def test_untimed_hot_group_is_zipped(spark, by_time):
     stm, bo = [side(False) for _ in range(70)], [side(True) for _ in range(60)]
     got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=10), by_time)).collect()
     assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), by_time)
+
+
+@pytest.mark.parametrize("seed,bank,office", [(1, 0.3, 0), (4, 0, 0.1), (5, 0.3, 0.1)])
+def test_units_are_joined_up_to_a_limit(spark, seed, bank, office):
+    """Joined once, then rows without time walk on along the longer units."""
+    stm, bo = mixed(seed, bank, office)
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=6, walk_rows=30), seed % 2 == 0)).collect()
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), seed % 2 == 0)
+
+
+def test_untimed_rows_pass_many_units_in_few_rounds(spark, monkeypatch):
+    """Earlier bank rows hold all but the last back-office rows, so rows without time pass 70 units; each took a round."""
+    at = lambda sec, late=False: dict(sec=sec, amount=10, account="A", job="J", no_time=late, dir="deposit", coarse=False)
+    bo = [at(400 * i) for i in range(1, 81)]
+    stm = [at(400 * i + 7) for i in range(1, 71)] + [at(0, True) for _ in range(8)]
+    staged, stage = [], matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name, *rest: staged.append(name) or stage(df, name, *rest))
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=2))).collect()
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), False)
+    assert staged.count("moved") <= 8
