@@ -52,7 +52,7 @@ def recon_match_passes(t: Tables) -> DataFrame:
 
 @check("recon_match_untimed", f"with recursive {greedy_sql(True, one=True)} {_PAIRS_SQL}")
 def recon_match_untimed(t: Tables) -> DataFrame:
-    """One account a day with timed and untimed bank rows, in units of some hundred rows."""
+    """One account a day with timed and untimed bank rows, in units of some hundred rows; lanes with untimed ones are cut at ``walk_rows``."""
     pairs = pair_rows(one_account(stm_side(t, True), True), one_account(bo_side(t, True), False), Settings(unit_rows=120))
     return _day(with_job(pairs)).select("day", F.col("stm_seq").alias("s_seq"), F.col("bo_seq").alias("b_seq"), F.col("dt_sec").cast("bigint").alias("dt"), "pass")
 

@@ -199,3 +199,43 @@ def test_untimed_rows_pass_many_units_in_few_rounds(spark, monkeypatch):
     got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=2))).collect()
     assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), False)
     assert staged.count("moved") <= 8
+
+
+@pytest.mark.parametrize("seed,bank,office", [(1, 0.3, 0), (3, 0.9, 0), (4, 0, 0.1), (5, 0.3, 0.1)])
+def test_untimed_rows_walk_along_lanes_longer_than_a_unit(spark, seed, bank, office):
+    """Lanes of more than ``walk_rows`` rows keep their units."""
+    stm, bo = mixed(seed, bank, office)
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=12, walk_rows=12), seed % 2 == 0)).collect()
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == model(stm, bo, Settings(), seed % 2 == 0)
+
+
+def test_lanes_of_one_unit_take_no_rounds(spark, monkeypatch):
+    """Rows without time in both directions: passes 1a and 1b took rounds of units."""
+    rnd = random.Random(21)
+
+    def make(untimed):
+        late = rnd.random() < untimed
+        return dict(sec=0 if late else rnd.randrange(0, 20000), amount=rnd.choice([10, 10, 20, 30]), account="A", job="J", no_time=late,
+                    dir=rnd.choice(["deposit", "withdraw"]), coarse=False)
+
+    stm, bo = [make(0.3) for _ in range(120)], [make(0) for _ in range(110)]
+    staged, stage = [], matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name, *rest: staged.append(name) or stage(df, name, *rest))
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=6))).collect()
+    want = model(stm, bo, Settings(), False)
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == want
+    assert {w[0] for w in want} == {"exact", "late", "amount"}
+    assert staged[:staged.index("first-pairs")].count("moved") == 0
+
+
+def test_chain_along_many_units_takes_two_rounds(spark, monkeypatch):
+    """Every bank row finds its nearest row taken by the one before, along 80 units; longer units took a round each time they grew."""
+    at = lambda sec: dict(sec=sec, amount=10, account="A", job="J", no_time=False, dir="withdraw", coarse=False)
+    bo = [at(150 * i) for i in range(1, 82)]
+    stm = [at(150)] + [at(150 * i + 70) for i in range(1, 81)]
+    staged, stage = [], matching.stage
+    monkeypatch.setattr(matching, "stage", lambda df, name, *rest: staged.append(name) or stage(df, name, *rest))
+    got = with_job(pair_rows(rows(spark, stm, "stm"), rows(spark, bo, "bo"), Settings(unit_rows=2))).collect()
+    want = model(stm, bo, Settings(), False)
+    assert sorted((r["pass"], r.stm_seq, r.bo_seq, r.dt_sec) for r in got) == want and len(want) == 81
+    assert staged.count("moved") == 2
